@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, simhash
+from . import bpe, decontaminate, line_dedup, simhash
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "line_dedup.n_lines", "line_dedup.n_removed", F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -65,13 +70,33 @@ from w left join c using (doc_id) left join it using (doc_id)
 """
 
 
+OP8_SQL = r"""
+with d as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
+l as (select doc_id, len(ls) as n, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from d where text is not null),
+h as (
+  select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h, length(line) - length(replace(line, ' ', '')) >= 20 as long from l),
+b as (
+  select *, (i = 1 or long or coalesce(lag(long) over w, false) or (coalesce(lag(h) over w, 0) * 31 + coalesce(lag(h, 2) over w, 0)) % 3 = 0) as begins
+  from h window w as (partition by doc_id order by i)),
+k as (select *, sum(case when begins then 1 else 0 end) over (partition by doc_id order by i) as k from b),
+c as (select doc_id, k, min(i) as s, count(*) as n, string_agg(line, chr(10) order by i) as chunk, bool_or(long) as long from k group by doc_id, k),
+g as (select *, row_number() over (partition by chunk order by doc_id, s) as r from c where n > 1 or long),
+kept as (select k.doc_id, k.i, k.line from k left join g on k.doc_id = g.doc_id and k.k = g.k where coalesce(g.r, 1) = 1),
+t as (select doc_id, count(*) as n, string_agg(line, chr(10) order by i) as text from kept group by doc_id)
+select d.doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(coalesce(len(ls), 0) - coalesce(t.n, 0) as bigint) as n_removed,
+  cast(length(coalesce(t.text, '')) as bigint) as n_chars, sha256(coalesce(t.text, '')) as text_sha256
+from d left join t using (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_simhash": op5_simhash,
         "op7_bpe": op7_bpe,
+        "op8_line_dedup": op8_line_dedup,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op8_line_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
