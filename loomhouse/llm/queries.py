@@ -4,12 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, simhash
-from .common import table
+from . import bpe, decontaminate, langid, line_dedup, simhash
+from .common import in_fold, table
+
+
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = in_fold("doc_id", 4, 2)
+    judge = langid.train(docs.where(~held_out).select("doc_id", "text", "lang"))
+    out = langid.identify(docs.select("doc_id", "text"), judge)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("langid.lang").alias("lang_pred"), "langid.score", "langid.rejected", "langid.cross_entropy")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +100,12 @@ from d left join t using (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_langid": op1_langid,
         "op5_simhash": op5_simhash,
         "op7_bpe": op7_bpe,
         "op8_line_dedup": op8_line_dedup,
         "op10_decontamination": op10_decontamination,
+        "pipeline": corpus_pipeline.run,
     }
 
 
