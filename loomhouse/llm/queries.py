@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, simhash
+from . import bpe, decontaminate, html_text, langid, line_dedup, simhash
 from .common import in_fold, table
 
 
@@ -21,6 +21,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), F.col("langid.lang").alias("lang_pred"), "langid.score", "langid.rejected", "langid.cross_entropy")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "main.text", F.length("main.text").cast("bigint").alias("n_chars"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -101,6 +106,7 @@ from d left join t using (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
+        "op2_html": op2_html,
         "op5_simhash": op5_simhash,
         "op7_bpe": op7_bpe,
         "op8_line_dedup": op8_line_dedup,
