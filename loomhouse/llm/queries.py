@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, line_dedup, simhash
+from . import bpe, decontaminate, html_text, langid, line_dedup, quality, simhash, topk, toxicity
 from .common import in_fold, table
 
 
@@ -26,11 +26,33 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "main.text", F.length("main.text").cast("bigint").alias("n_chars"))
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def _scored(spark: SparkSession, sf_dir: str, operator, label: str, least: float) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = in_fold("doc_id", 5, 0)
+    model = operator.train(docs, table(spark, sf_dir, "labels").where(~held_out).select("doc_id", label))
+    out = operator.score(docs, model, name="scored")
+    score = F.col("scored.score")
+    return out.select("doc_id", held_out.alias("held_out"), score.alias("score"), (score >= least).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, quality, "quality", 0.3)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, toxicity, "toxic", 0.5)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -84,6 +106,17 @@ from w left join c using (doc_id) left join it using (doc_id)
 """
 
 
+OP3_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 20
+"""
+
 OP8_SQL = r"""
 with d as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 l as (select doc_id, len(ls) as n, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from d where text is not null),
@@ -107,13 +140,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": op1_langid,
         "op2_html": op2_html,
+        "op3_topk": op3_topk,
         "op5_simhash": op5_simhash,
+        "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
         "op8_line_dedup": op8_line_dedup,
+        "op9_toxicity": op9_toxicity,
         "op10_decontamination": op10_decontamination,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
+    return {"op3_topk": OP3_SQL, "op8_line_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
