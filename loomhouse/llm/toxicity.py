@@ -1,12 +1,13 @@
 """Toxicity by a counterfactual-regularised linear classifier.
 
-A text's features are its distinct words.  Words that tell the labels of a bounded sample
-apart are kept, and a logistic regression is fitted to them with a small L1 and L2 penalty.
+A text's features are its distinct words and word beginnings (of the lengths in STEMS, so
+that forms of one stem share a feature).  Those that tell the labels of a bounded sample apart are
+kept, and a logistic regression is fitted to them with a small L1 and L2 penalty.
 In every labelled text that holds an identity term the term is swapped for the others of its
 group, and for no term at all; the squared change of the score under each swap is penalised,
 so that a mention of a group by itself moves the score little, whatever the labels' bias.
 
-The broadcast holds one weight for each kept word, bounded by FEATURES.
+The broadcast holds one weight for each kept feature, bounded by FEATURES.
 Defined results: null and empty texts get the score of a text without any known word; without
 labels, or with labels of one kind only, every score is that kind's smoothed share.  Repeated
 rows are each scored; other columns pass through.
@@ -22,14 +23,16 @@ from pyspark.sql import DataFrame
 
 from .common import annotate, fresh, lists, pieces, strings, struct
 from .labelled import sample as labelled_sample
-from .words import ALNUM, hashes, words
+from .words import ALNUM, LOWER, hashes, mix, running, span_hashes, spans
 
-#: Labelled documents to learn from, about; words that the model keeps at most.
-SAMPLE = 8000
+#: Labelled documents to learn from, about; features that the model keeps at most.
+SAMPLE = 6000
 FEATURES = 20_000
 #: Weight of the squared change of the score under a swap, against the mean log loss.
 COUNTERFACTUAL = 1.0
-L1, L2 = 2e-4, 1e-4
+L1, L2 = 3e-5, 1e-5
+#: Bytes of the word beginnings that are features.
+STEMS = (4, 5, 6, 7)
 
 # Identity terms, one group in each line; any two of a line may be swapped.
 IDENTITY = """
@@ -56,9 +59,22 @@ def groups() -> list[np.ndarray]:
     return [_hashed(line.split()) for line in IDENTITY.strip().splitlines()]
 
 
-def distinct_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of each row's distinct words, number of them)."""
-    _, _, _, row, h = words(data, offsets, ALNUM)
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of every word and of every beginning of a longer word."""
+    total = running(LOWER[data])
+    start, end, row = spans(data, offsets, ALNUM)
+    out, own = [span_hashes(total, start, end)], [row]
+    for k in STEMS:
+        longer = end - start > k
+        at = start[longer]
+        out.append(mix(span_hashes(total, at, at + k) + np.uint64(k)))
+        own.append(row[longer])
+    return np.concatenate(out), np.concatenate(own)
+
+
+def distinct_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of each row's distinct features, number of them)."""
+    h, row = features(data, offsets)
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     new = np.ones(len(h), bool)
@@ -76,18 +92,18 @@ class Classifier:
         out = np.full(n, self.bias)
         if not len(self.keys):
             return out
-        _, _, _, row, h = words(data, offsets, ALNUM)
+        h, row = features(data, offsets)
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         hit = self.keys[at] == h
-        pair = np.unique(row[hit] * len(self.keys) + at[hit])  # each word once for each text
+        pair = np.unique(row[hit] * len(self.keys) + at[hit])  # each feature once for each text
         return out + np.bincount(pair // len(self.keys), self.weights[pair % len(self.keys)], n)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logit(data, offsets), -500, 500)))
 
 
-def fit(h: np.ndarray, many: np.ndarray, label: np.ndarray, counterfactual: float = COUNTERFACTUAL, features: int = FEATURES, steps: int = 400) -> Classifier:
-    """`h`: distinct word hashes of all texts, `many` of each; `label`: 0 or 1."""
+def fit(h: np.ndarray, many: np.ndarray, label: np.ndarray, counterfactual: float = COUNTERFACTUAL, most: int = FEATURES, steps: int = 400) -> Classifier:
+    """`h`: distinct feature hashes of all texts, `many` of each; `label`: 0 or 1."""
     n = len(label)
     if label.min(initial=1) == label.max(initial=0) or n == 0:
         share = (label.sum() + 0.5) / (n + 1)
@@ -101,8 +117,8 @@ def fit(h: np.ndarray, many: np.ndarray, label: np.ndarray, counterfactual: floa
     z = (p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / (label.sum() + 1) + 1 / (n - label.sum() + 1)))
     identity = groups()
     keep = (ones + zeros >= 3) & (np.abs(z) > 3) | np.isin(keys, np.concatenate(identity))
-    if keep.sum() > features:
-        keep &= np.abs(z) >= np.sort(np.abs(z[keep]))[-features]
+    if keep.sum() > most:
+        keep &= np.abs(z) >= np.sort(np.abs(z[keep]))[-most]
     number = np.cumsum(keep) - 1
     some = keep[col]
     row, col, keys = row[some], number[col[some]], keys[keep]
@@ -157,7 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample:
         for batch in batches:
             data, offsets = strings(batch.column(1))
             for a, b in pieces(offsets):
-                h, many = distinct_words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                h, many = distinct_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists(pa.array(h.view(np.int64)), many)], names=["label", "h"])
 
     got = labelled_sample(docs, labels, label_col, sample).mapInArrow(run, "label int, h array<bigint>").toArrow().combine_chunks()

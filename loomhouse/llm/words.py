@@ -58,14 +58,23 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span: a polynomial of random byte values, from differences of running sums."""
-    n = len(lowered)
+def running(lowered: np.ndarray) -> np.ndarray:
+    """Running sums of the byte values' polynomial, from which any span's hash is a difference."""
+    total = np.zeros(len(lowered) + 1, np.uint64)
+    if len(lowered):
+        np.cumsum(_TABLE[lowered] * _power("up", _BASE, len(lowered)), out=total[1:])
+    return total
+
+
+def span_hashes(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_TABLE[lowered] * _power("up", _BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power("down", _BACK, n)[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * _power("down", _BACK, len(total))[starts] + (ends - starts).astype(np.uint64))
+
+
+def hashes(lowered: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span: a polynomial of random byte values, from differences of running sums."""
+    return span_hashes(running(lowered), starts, ends)
 
 
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
