@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, langid, line_dedup, quality, simhash, topk, toxicity
+from . import bpe, decontaminate, html_text, langid, line_dedup, lm, quality, simhash, topk, toxicity
 from .common import in_fold, table
 
 
@@ -31,6 +31,12 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = lm.score(docs, F.col("doc_id").isNotNull() & ~in_fold("doc_id", 10, 0), in_fold("doc_id", 10, 1))
+    return out.withColumnRenamed("id", "doc_id").select("doc_id", in_fold("doc_id", 10, 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.classes(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -141,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_langid": op1_langid,
         "op2_html": op2_html,
         "op3_topk": op3_topk,
+        "op4_lm": op4_lm,
         "op5_simhash": op5_simhash,
         "op6_quality": op6_quality,
         "op7_bpe": op7_bpe,
