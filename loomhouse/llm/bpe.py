@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from .common import annotate, lists, struct
 
 LONG = 256
 #: Matches whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Coarse cuts that no match of the pattern crosses: the last white character before a run of others goes with it.
 _CUT = re.compile(f"[{_WHITE}]?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
@@ -39,6 +40,11 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each range, one after the other."""
+    return np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
 class Merger:
     """Encodes single matches; the tables are built once in each Python worker."""
 
@@ -66,7 +72,7 @@ class Merger:
         for token, rank in ranks.items():
             flat[self.token_at[rank] : self.token_at[rank] + len(token)] = np.frombuffer(token, np.uint8)
         self.token_bytes = flat
-        self.known: dict[str, np.ndarray] = {}
+        self._forget()
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.log)).astype(np.int64)
@@ -106,10 +112,10 @@ class Merger:
             todo = todo[~hit & (self.slots[at] != np.uint64(0xFFFFFFFFFFFFFFFF))]
         return out
 
-    def _matrix(self, rows: list[bytes], width: int) -> list[np.ndarray]:
-        """Ids of rows of at most `width` bytes (and over half of it)."""
+    def _matrix(self, rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row numbers in the order they ended, ids of each, all ids) of rows of at most `width` bytes."""
         n = len(rows)
-        length = np.array([len(r) for r in rows], np.int64)
+        length = np.fromiter(map(len, rows), np.int64, n)
         ids = np.zeros((n, width), np.int32)
         mask = np.arange(width)[None, :] < length[:, None]
         ids[mask] = self.byte_ids[np.frombuffer(b"".join(rows), np.uint8)]
@@ -117,7 +123,7 @@ class Merger:
         if width > 1:
             pair = mask[:, 1:]
             rank[pair] = self.rank(ids[:, :-1][pair], ids[:, 1:][pair])
-        out: list[np.ndarray | None] = [None] * n
+        ended, sizes, flat = [], [], []
         live = np.arange(n)
         while len(live):
             at = rank.argmin(axis=1)
@@ -125,8 +131,9 @@ class Merger:
             best = rank[here, at]
             done = best == self.NONE
             if done.any():
-                for k in np.flatnonzero(done).tolist():
-                    out[live[k]] = ids[k, : length[k]].copy()
+                ended.append(live[done])
+                sizes.append(length[done])
+                flat.append(ids[done][np.arange(ids.shape[1])[None, :] < length[done][:, None]])
                 keep = ~done
                 live, ids, rank, length, at, best = live[keep], ids[keep], rank[keep], length[keep], at[keep], best[keep]
                 if not len(live):
@@ -147,10 +154,10 @@ class Merger:
             for left in (at - 1, at):  # only the pairs beside the merge are new
                 ok = np.flatnonzero((left >= 0) & (left + 1 < length))
                 rank[ok, left[ok]] = self.rank(ids[ok, left[ok]], ids[ok, left[ok] + 1])
-            ended = np.flatnonzero(at + 1 >= length)
-            ended = ended[at[ended] < rank.shape[1]]
-            rank[ended, at[ended]] = self.NONE
-        return out
+            last = np.flatnonzero(at + 1 >= length)
+            last = last[at[last] < rank.shape[1]]
+            rank[last, at[last]] = self.NONE
+        return np.concatenate(ended), np.concatenate(sizes), np.concatenate(flat)
 
     def _heap(self, row: bytes) -> np.ndarray:
         """The same merges for one long row, with a heap of pairs and a linked list."""
@@ -173,52 +180,79 @@ class Merger:
                     heapq.heappush(heap, (s, x, ids[x], ids[after[x]]))
         return np.array([t for t, ok in zip(ids, alive) if ok], np.int32)
 
-    def merge(self, rows: list[bytes]) -> list[np.ndarray]:
-        """Ids of each match; a match that is a token itself needs no merging."""
-        out: list[np.ndarray | None] = [None] * len(rows)
+    def merge(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all ids, first id and number of ids of each match); a match that is a token needs no merging."""
+        whole, tokens, parts = [], [], []
         buckets: dict[int, list[int]] = {}
         for k, row in enumerate(rows):
-            whole = self.ranks.get(row)
-            if whole is not None:
-                out[k] = np.array([whole], np.int32)
+            token = self.ranks.get(row)
+            if token is not None:
+                whole.append(k)
+                tokens.append(token)
             elif len(row) > LONG:
-                out[k] = self._heap(row)
+                ids = self._heap(row)
+                parts.append((np.array([k]), np.array([len(ids)]), ids))
             else:
                 buckets.setdefault(-(-len(row) // 4) * 4 if len(row) <= 32 else 1 << (len(row) - 1).bit_length(), []).append(k)
+        parts.append((np.array(whole, np.int64), np.ones(len(whole), np.int64), np.array(tokens, np.int32)))
         for width, own in buckets.items():
-            step = max(1, (1 << 18) // width)  # a matrix stays within the processor's cache
+            step = max(1, (1 << 17) // width)  # a matrix stays within the processor's cache
             for a in range(0, len(own), step):
-                for k, ids in zip(own[a : a + step], self._matrix([rows[i] for i in own[a : a + step]], width)):
-                    out[k] = ids
-        return out
+                some = own[a : a + step]
+                ended, sizes, flat = self._matrix([rows[k] for k in some], width)
+                parts.append((np.array(some)[ended], sizes, flat))
+        order = np.concatenate([p[0] for p in parts])
+        sizes = np.concatenate([p[1] for p in parts])
+        first, many = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+        first[order], many[order] = np.cumsum(sizes) - sizes, sizes
+        return np.concatenate([p[2] for p in parts]), first, many
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of pieces of text that are not known yet."""
+        matches, many = [], np.ones(len(new), np.int64)
+        for k, p in enumerate(new):
+            if (p[1:] if p[0] == " " else p).isalpha():  # letters, with a blank before them or not: one match
+                matches.append(p)
+            else:
+                own = self.pattern.findall(p)
+                matches += own
+                many[k] = len(own)
+        number = {m: k for k, m in enumerate(dict.fromkeys(matches))}
+        flat, first, size = self.merge([m.encode() for m in number])
+        which = np.fromiter(map(number.__getitem__, matches), np.int64, len(matches))
+        ids = flat[_ranges(first[which], size[which])]
+        edge = np.concatenate([[0], np.cumsum(size[which])])
+        last = np.cumsum(many)
+        at = len(self.ids)
+        self.first = np.concatenate([self.first, at + edge[last - many]])
+        self.many = np.concatenate([self.many, edge[last] - edge[last - many]])
+        self.ids = np.concatenate([self.ids, ids])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.first, self.many = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
         cut = [_CUT.findall(t) for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for c in cut for p in c if p not in known}) if known else list({p for c in cut for p in c})
-        matches = [[m.encode() for m in self.pattern.findall(p)] for p in new]
-        several = list({m for own in matches for m in own})
-        ids = dict(zip(several, self.merge(several)))
-        for p, own in zip(new, matches):
-            known[p] = ids[own[0]] if len(own) == 1 else np.concatenate([ids[m] for m in own])
-        every = [known[p] for c in cut for p in c]
-        size = np.fromiter(map(len, every), np.int64, len(every))
+        flat = list(chain.from_iterable(cut))
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        new = list(set(flat).difference(self.known))
+        if new:
+            self._learn(new)
+        which = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        size = self.many[which]
         edge = np.concatenate([[0], np.cumsum(size)])
-        last = np.cumsum([len(c) for c in cut])
-        ends = edge[last]
-        flat = np.concatenate(every) if every else np.zeros(0, np.int32)
-        return flat.astype(np.int32), np.diff(np.concatenate([[0], ends]))
+        ends = edge[np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))]
+        return self.ids[_ranges(self.first[which], size)], np.diff(ends, prepend=0)
 
     def decode(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all rows, number of bytes of each)."""
         size = self.token_size[ids]
-        total = np.concatenate([[0], np.cumsum(size)])
-        take = np.arange(total[-1]) - np.repeat(total[:-1], size) + np.repeat(self.token_at[ids], size)
-        ends = total[np.cumsum(lengths)] if len(lengths) else np.zeros(0, np.int64)
-        return self.token_bytes[take], np.diff(np.concatenate([[0], ends]))
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(lengths)]
+        return self.token_bytes[_ranges(self.token_at[ids], size)], np.diff(ends, prepend=0)
 
 
 _mergers: dict[tuple[str, int], Merger] = {}

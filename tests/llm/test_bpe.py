@@ -38,7 +38,7 @@ def test_encode_like_the_library(spark, reference):
 def test_matrix_and_heap_agree():
     merger = bpe.Merger(bpe.read_ranks(PATH), public_tokenizers.PATTERN)
     for row in (b"internationalisation", "schönheit".encode(), b"aaaaaaa", b"\xff\xfe\x00", b"zz" * 60):
-        assert merger._heap(row).tolist() == merger._matrix([row], 1 << (len(row) - 1).bit_length())[0].tolist()
+        assert merger._heap(row).tolist() == merger._matrix([row], 1 << (len(row) - 1).bit_length())[2].tolist()
 
 
 def test_memory_is_emptied_when_full(reference, monkeypatch):
