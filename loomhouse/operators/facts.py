@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import subprocess
 from collections.abc import Callable, Mapping, Sequence
+from itertools import chain
 from typing import Any
 
 from loomhouse.functions.scalars import getdbfriendlystr
@@ -221,13 +222,12 @@ class SubprocessFactTable:
 
         def pipe(rows) -> None:
             run = subprocess.Popen(command, shell=True, stdin=subprocess.PIPE)
-            for line in [before] if before else []:
-                run.stdin.write((line + sep).encode())
-            for row in rows:
-                run.stdin.write((row[0] + sep).encode())
-            for line in [after] if after else []:
-                run.stdin.write((line + sep).encode())
-            run.stdin.close()
+            try:
+                for line in chain([before] if before else [], (row[0] for row in rows), [after] if after else []):
+                    run.stdin.write((line + sep).encode())
+                run.stdin.close()
+            except BrokenPipeError:  # it ended early: the code below says how
+                pass
             if run.wait():
                 raise Error(f"{command} ended with {run.returncode}")
 
