@@ -1,9 +1,10 @@
 """Line dedup by content-defined line chunks, with DataFrame functions only.
 
-A text is cut into lines at each \\n.  A rolling hash over the hashes of the last two lines
-chooses where a chunk ends, so equal runs of lines are cut alike wherever they stand.  As in
-other content-defined chunking there is a largest chunk: a line of more than LONG_WORDS
-words is a chunk by itself.  A chunk of several lines, or of one such long line, that is
+A text is cut into lines at each \\n.  A rolling hash covers the hashes of two lines at a time, and
+a chunk begins where it has a local minimum: the choice depends on four lines only, so equal
+runs of lines are cut alike wherever they stand, and chunks have at least two lines, three on
+average.  As in other content-defined chunking there is a largest chunk: a line of more
+than LONG_WORDS words is a chunk by itself.  A chunk of several lines, or of one such long line, that is
 found more than once over all documents is removed from all places but the first (smallest
 id, then smallest hash of the text, then first line).  Chunks are matched by hash and
 removed only if their bytes equal those of the place that stays.
@@ -24,8 +25,6 @@ from pyspark.sql import functions as F
 
 from .common import fresh, release, remove, written
 
-#: One in so many lines ends a chunk.
-DIVISOR = 3
 #: A line of more words than this (counted by blanks) is a chunk by itself.
 LONG_WORDS = 20
 
@@ -45,9 +44,10 @@ def _cut(df: DataFrame, *keep: str) -> DataFrame:
         h=F.transform("lines", lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("bigint")),
         long=F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) >= LONG_WORDS),
     )
-    before = lambda i, k: F.coalesce(F.get("h", i - k), F.lit(0))
-    begins = lambda i: (i == 0) | F.get("long", i) | F.get("long", i - 1) | ((before(i, 1) * 31 + before(i, 2)) % DIVISOR == 0)
-    return _barrier(hashed, *keep, "lines", "long", starts=F.filter(F.sequence(F.lit(0), F.size("lines") - 1), begins))
+    rolled = _barrier(hashed, *keep, "lines", "long", r=F.transform("h", lambda x, i: x * 31 + F.coalesce(F.get("h", i - 1), F.lit(0))))
+    least = lambda i: (F.get("r", i) < F.get("r", i - 1)) & (F.get("r", i) <= F.coalesce(F.get("r", i + 1), F.get("r", i)))
+    begins = lambda i: (i == 0) | F.get("long", i) | F.get("long", i - 1) | least(i)
+    return _barrier(rolled, *keep, "lines", "long", starts=F.filter(F.sequence(F.lit(0), F.size("lines") - 1), begins))
 
 
 def _spans(cut: DataFrame, *keep: str) -> DataFrame:
@@ -91,7 +91,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     told = _barrier(told, "id", "th", "spans", lines=F.split("text", "\n", -1))
     chunk = lambda x: F.struct(x["s"].alias("s"), x["h1"].alias("h1"), x["h2"].alias("h2"), x["stays"].alias("stays"), _text(x["s"], x["e"]).alias("chunk"))
     told = told.select("id", "th", F.inline(F.transform("spans", chunk)))
-    kept = told.where("stays").select("h1", "h2", F.col("chunk").alias("kept")).dropDuplicates(["h1", "h2"])
+    kept, _ = written(told.where("stays").select("h1", "h2", F.col("chunk").alias("kept")).dropDuplicates(["h1", "h2"]), "kept")
     other = told.where("not stays").join(kept, ["h1", "h2"]).where("chunk != kept").select("id", "th", "s")
     restored, _ = written(other.groupBy("id", "th").agg(F.collect_set("s").alias("stay")), "restored")
     release(spark)

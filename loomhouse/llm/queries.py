@@ -128,9 +128,10 @@ with d as (select doc_id, text, string_split(text, chr(10)) as ls from documents
 l as (select doc_id, len(ls) as n, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from d where text is not null),
 h as (
   select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h, length(line) - length(replace(line, ' ', '')) >= 20 as long from l),
+r as (select *, h * 31 + coalesce(lag(h) over w, 0) as r from h window w as (partition by doc_id order by i)),
 b as (
-  select *, (i = 1 or long or coalesce(lag(long) over w, false) or (coalesce(lag(h) over w, 0) * 31 + coalesce(lag(h, 2) over w, 0)) % 3 = 0) as begins
-  from h window w as (partition by doc_id order by i)),
+  select *, (i = 1 or long or coalesce(lag(long) over w, false) or (r < lag(r) over w and r <= coalesce(lead(r) over w, r))) as begins
+  from r window w as (partition by doc_id order by i)),
 k as (select *, sum(case when begins then 1 else 0 end) over (partition by doc_id order by i) as k from b),
 c as (select doc_id, k, min(i) as s, count(*) as n, string_agg(line, chr(10) order by i) as chunk, bool_or(long) as long from k group by doc_id, k),
 g as (select *, row_number() over (partition by chunk order by doc_id, s) as r from c where n > 1 or long),
