@@ -14,7 +14,7 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, most: int, id_col
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     n = known.count()
-    grid = 1_000_000
+    grid = 1 << 40
     if n > most:
         known = known.where(F.pmod(F.xxhash64("id", F.lit(label_col)), F.lit(grid)) < int(grid * most / n))
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

@@ -3,8 +3,9 @@
 A text's features are its distinct words and word beginnings (of the lengths in STEMS, so
 that forms of one stem share a feature).  Those that tell the labels of a bounded sample apart are
 kept, and a logistic regression is fitted to them with a small L1 and L2 penalty.
-In every labelled text that holds an identity term the term is swapped for the others of its
-group, and for no term at all; the squared change of the score under each swap is penalised,
+In every labelled text that holds an identity term the term (with its beginnings) is swapped for
+the others of its group, and for no term at all; the squared change of the score under each swap
+is penalised,
 so that a mention of a group by itself moves the score little, whatever the labels' bias.
 
 The broadcast holds one weight for each kept feature, bounded by FEATURES.
@@ -59,6 +60,15 @@ def groups() -> list[np.ndarray]:
     return [_hashed(line.split()) for line in IDENTITY.strip().splitlines()]
 
 
+def term_features() -> list[list[list[int]]]:
+    """For each group and term of IDENTITY the hashes of its features, the whole word first."""
+    out = []
+    for line in IDENTITY.strip().splitlines():
+        h, row = features(*strings(pa.array(line.split())))
+        out.append([[int(x) for x in h[row == k]] for k in range(len(line.split()))])
+    return out
+
+
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every word and of every beginning of a longer word."""
     total = running(LOWER[data])
@@ -123,33 +133,37 @@ def fit(h: np.ndarray, many: np.ndarray, label: np.ndarray, counterfactual: floa
     some = keep[col]
     row, col, keys = row[some], number[col[some]], keys[keep]
     width = len(keys)
-    # swaps: for each mention, each other term of the group, and none; a swap's change is w[a] - w[b]
+    # swaps: for each mention, each other term of the group, and none; one row for each, +1 for what goes and -1 for what comes
     place = {int(k): i for i, k in enumerate(keys)}
     mentions = np.bincount(col, minlength=width)
-    pairs = []
-    for group in identity:
-        own = [place[int(t)] for t in group if int(t) in place]
+    swap, feature, sign, times = [], [], [], []
+    for group in term_features():
+        own = [[place[f] for f in fs if f in place] for fs in group if fs[0] in place]
         for a in own:
-            pairs += [(a, b, mentions[a]) for b in own if b != a] + [(a, -1, mentions[a])]
-    a, b = (np.array([p[i] for p in pairs], int) for i in (0, 1))
-    times = np.array([p[2] for p in pairs], float) / n
+            for b in [*(b for b in own if b is not a), []]:
+                swap += [len(times)] * (len(a) + len(b))
+                feature += a + b
+                sign += [1.0] * len(a) + [-1.0] * len(b)
+                times.append(mentions[a[0]] / n)
+    swap, feature, sign, times = np.array(swap, int), np.array(feature, int), np.array(sign), np.array(times)
     x = lambda w: np.bincount(row, w[col], n)
     xt = lambda r: np.bincount(col, r[row], width)
 
     def gradient(w: np.ndarray, bias: float) -> tuple[np.ndarray, float]:
         error = (1 / (1 + np.exp(-np.clip(x(w) + bias, -500, 500))) - label) / n
         g = xt(error) + L2 * w
-        if len(a):
-            change = counterfactual * times * 2 * (w[a] - np.where(b >= 0, w[b], 0))
-            g += np.bincount(a, change, width) - np.bincount(b[b >= 0], change[b >= 0], width)
+        if len(times):
+            change = np.bincount(swap, sign * w[feature], len(times))
+            g += np.bincount(feature, sign * (2 * counterfactual * times * change)[swap], width)
         return g, float(error.sum())
 
     # accelerated proximal steps, each column scaled by its own bound of the curvature
     share = mentions / n
     longest = max(1, np.bincount(row, minlength=n).max())
     curve = 0.25 * np.minimum(share * longest, np.bincount(col, np.bincount(row, minlength=n)[row], width) / n) + L2
-    if len(a):
-        curve += 4 * counterfactual * (np.bincount(a, times, width) + np.bincount(b[b >= 0], times[b >= 0], width))
+    if len(times):
+        wide = np.bincount(swap, minlength=len(times))
+        curve += 2 * counterfactual * np.bincount(feature, (times * wide)[swap], width)
     curve += 0.25 * share
     w = ahead = np.zeros(width)
     bias = bias_ahead = float(np.log(label.mean() / (1 - label.mean())))
