@@ -236,7 +236,7 @@ def learn(histogram: list[tuple[int, int, int, int]], rounds: int = 60, doubt: f
     """
     out = np.tile(np.array(PRIOR), (BUCKETS, 1))
     if not histogram:
-        return out
+        return _without_context(out)
     h = np.array(histogram, float)
     value = lambda s: np.where(s <= -1000, 0.0, 2.0 ** (s / FINE))
     p = np.stack([value(h[:, 2]), value(h[:, 1]), np.ones(len(h))], axis=1)
@@ -255,7 +255,14 @@ def learn(histogram: list[tuple[int, int, int, int]], rounds: int = 60, doubt: f
     for b in range(BUCKETS):
         some = bucket == b
         out[b] = em(every, some, doubt) if some.any() else every
-    return out
+    return _without_context(out)
+
+
+def _without_context(weights: np.ndarray) -> np.ndarray:
+    """An unseen context says nothing: in its bucket the pairs' weight goes to the others."""
+    weights[0, 0] = 0
+    weights[0] /= weights[0].sum()
+    return weights
 
 
 def _met(blocks: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
@@ -285,6 +292,8 @@ def score(docs: DataFrame, training: Column, deleted: Column, id_col: str = "doc
     fold = _met(_blocks(rows).where(F.col("block").contains(f"-{DELETED}-")), answers.where(F.col("cls") == DELETED), ratios, "b int, one int, two int, n bigint")
     histogram = fold.groupBy("b", "one", "two").agg(F.sum("n").alias("n")).orderBy("b", "one", "two").collect()  # at most BUCKETS x steps x steps
     weights = learn([tuple(r) for r in histogram])
+    if not tokens:
+        weights[:] = (0, 0, 1)
 
     def probabilities(texts: pa.Table, told: pa.Table) -> pa.Table:
         found = _Resolved(texts, told, "total")
