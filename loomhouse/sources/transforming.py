@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
 from loomhouse.functions.aggregators import Aggregator, Sum
 from loomhouse.operators.keys import numbered
+from loomhouse.plans.store import staged
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,17 +65,29 @@ def sqltransformingsource(source: DataFrame, temptablename: str, query: str, bat
     """The rows of a query over the source as a view.
 
     With `perbatch`, the source is cut into batches of `batchsize` rows in the order given, and
-    the query runs over each by itself: its text may use the name `batch`, by which it then must
-    group or partition (aggregates by batch are one plan over all batches, not a loop).
+    the query runs over each by itself.  A query that uses the name `batch` is run once over all
+    batches and must group or partition by it: one plan for any number of batches.  Any other
+    query is planned for each batch, and the results are put together.
     """
     spark = source.sparkSession
-    view = source
+    view, batches = source, None
     if perbatch:
-        rank = numbered(source, order_by or source.columns, "_row")
+        if batchsize < 1:
+            raise ValueError("batchsize must be positive")
+        rank = staged(numbered(source, order_by or source.columns, "_row"))
         view = rank.withColumn("batch", F.floor((F.col("_row") - 1) / batchsize).cast("bigint")).drop("_row")
-    view.createOrReplaceTempView(temptablename)
+        if not re.search(r"\bbatch\b", query, re.I):
+            batches = -(-rank.count() // batchsize)
     try:
-        out = spark.sql(query)
+        if batches is None:
+            view.createOrReplaceTempView(temptablename)
+            out = spark.sql(query)
+        else:
+            parts = []
+            for k in range(max(batches, 1)):
+                view.where(F.col("batch") == k).drop("batch").createOrReplaceTempView(temptablename)
+                parts.append(spark.sql(query))
+            out = reduce(DataFrame.unionAll, parts)
     finally:
         spark.catalog.dropTempView(temptablename)
     if columnnames is not None:

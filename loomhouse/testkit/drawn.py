@@ -18,7 +18,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 from decimal import Decimal
 from typing import Any
 
-from loomhouse.plans.store import Warehouse, getdefaulttargetconnection
+from loomhouse.plans.store import Warehouse, getdefaulttargetconnection, quoted
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -226,8 +226,8 @@ class Table:
         return self.warehouse.spark.createDataFrame(self.rows, self.schema())
 
     def getSQLToCreate(self) -> str:
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" + (" NOT NULL" if f.name in (*self.keyrefs, *self.notnull) else "") for f in self.schema())
-        return f"CREATE TABLE {self.name} ({fields}) USING parquet"
+        fields = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" + (" NOT NULL" if f.name in (*self.keyrefs, *self.notnull) else "") for f in self.schema())
+        return f"CREATE TABLE {quoted(self.name)} ({fields}) USING parquet"
 
     def getSQLToInsert(self) -> str:
         def literal(v: Any) -> str:
@@ -241,7 +241,7 @@ class Table:
                 return f"DATE'{v}'"
             return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-        return f"INSERT INTO {self.name} ({', '.join(self.columns)}) VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
+        return f"INSERT INTO {quoted(self.name)} ({', '.join(map(quoted, self.columns))}) VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in self.rows)
 
     def _stored(self) -> DataFrame:
         return self.warehouse.read(self.name)

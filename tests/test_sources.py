@@ -136,6 +136,10 @@ def test_transforming(spark, book):
     assert sorted(rows(seen)) == [(2,), (4,), (6,), (8,), (10,)]
     batches = X.sqltransformingsource(book, "b", "select batch, genre, count(*) from b group by 1, 2", batchsize=1, perbatch=True, columnnames=["batch", "genre", "n"], order_by=["id"])
     assert sorted(r["genre"] for r in batches.collect()) == ["Comic", "Comic", "Cookbook", "Novel", "Unknown"]
+    each = X.sqltransformingsource(book, "b", "select genre, count(*) n from b group by 1", batchsize=1, perbatch=True, order_by=["id"])
+    assert each.columns == ["genre", "n"] and sorted(r["genre"] for r in each.collect()) == ["Comic", "Comic", "Cookbook", "Novel", "Unknown"]
+    whole = X.sqltransformingsource(book, "b", "select genre, count(*) n from b group by 1")
+    assert sorted(r["genre"] for r in whole.collect()) == ["Comic", "Cookbook", "Novel", "Unknown"]
 
 
 def test_joins_unions_pivot(spark):
