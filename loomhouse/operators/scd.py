@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .dimension import ARRIVAL, Dimension
 from .keys import highest, numbered
 from .matching import Mapped, differs, mapped, own, prefixed, require, same
+from .ordered import RANGE, ranged, running, with_previous
 
 
 class SlowlyChangingDimension(Dimension):
@@ -95,13 +96,13 @@ class SlowlyChangingDimension(Dimension):
         names = dict(namemapping or {})
         require(df, [mapped(a, names) for a in self.lookupatts])
         here = [a for a in self.attributes if mapped(a, names) in df.columns]
-        order = self._order(df)
+        arrival = self._order(df)
         schema = self.table.schema
         typed = lambda a, v: v.cast(schema[a].dataType)
 
         # the batch, with what every row says about validity
         rows = df.withColumns({"_from": self.fromfinder(names), "_to": self.tofinder(names), "_src": self.srcdateparser(own(mapped(self.srcdateatt, names))) if self.srcdateatt else F.lit(None)})
-        rows = numbered(rows, [own(c) for c in order], "_seq")
+        rows = numbered(rows, [own(c) for c in arrival], "_seq")
         kind = schema[self.fromatt].dataType if self.fromatt else rows.schema["_from"].dataType
         to_kind = schema[self.toatt].dataType if self.toatt else rows.schema["_to"].dataType
         maxto = F.lit(self.maxto).cast(to_kind)
@@ -126,9 +127,13 @@ class SlowlyChangingDimension(Dimension):
             own(self.key).alias("_key"),
             (own(self.versionatt).cast("bigint") if self.versionatt else F.lit(0).cast("bigint")).alias("_version"),
         )
-        member = Window.partitionBy(*[own(a) for a in self.lookupatts]).orderBy("_seq")
-        first = F.row_number().over(member) == 1
-        both = before.unionByName(batch)
+        # in order of member and arrival, dealt to ranges: a member of very many rows spreads over several tasks
+        order = [*self.lookupatts, "_seq"]
+        both = ranged(before.unionByName(batch), order)
+        numbers = sorted(r[0] for r in both.select(RANGE).distinct().collect())
+        mine = lambda p: same([(own(a), F.col(p)[a]) for a in self.lookupatts])
+        both = with_previous(both, order, self.lookupatts, "_p", numbers)
+        first = F.col("_p").isNull() | ~mine("_p")
         absent = lambda a: a not in here
         if self.minfrom is not None:
             start = F.lit(self.minfrom[0] if isinstance(self.minfrom, tuple) else self.minfrom).cast(kind)
@@ -143,7 +148,9 @@ class SlowlyChangingDimension(Dimension):
             "_own": F.when(own("_key").isNotNull(), own(self.toatt) if self.toatt else F.lit(None)).when(first, new_to).otherwise(maxto).cast(to_kind),
             "_first": first & own("_key").isNull(),
         })
-        lag = lambda c: F.lag(own(c)).over(member)
+        both = staged(both.drop("_p"), "versions")
+        both = with_previous(both, order, [*self.lookupatts, *self.type2atts, "_eff", "_own"], "_p", numbers)
+        lag = lambda c: F.col("_p")[c]
         changed = F.lit(False)
         for a in self.type2atts:
             if not absent(a):
@@ -152,22 +159,23 @@ class SlowlyChangingDimension(Dimension):
             changed = changed | differs(own("_src"), lag("_eff"))
         if self.toatt and self.toatt != self.orderingatt:
             changed = changed | differs(lag("_own"), maxto)
-        step = F.when(own("_key").isNotNull(), 0).when(own("_first"), 1).when(changed, 1).otherwise(0)
-        both = both.withColumn("_grp", F.sum(step).over(member.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+        both = both.withColumn("_step", F.when(own("_key").isNotNull(), 0).when(own("_first"), 1).when(changed, 1).otherwise(0)).drop("_p")
+        both = staged(running(both, self.lookupatts, "_seq", "_step", "_grp"), "versions")
         # one row for each version that the batch made or met
-        base = F.first(own("_version"), ignorenulls=True).over(Window.partitionBy(*[own(a) for a in self.lookupatts]).orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0))
-        both = both.withColumn("_base", F.coalesce(base, F.lit(0).cast("bigint")))
-        both = staged(both, "versions")
         lowest = lambda c: F.min_by(own(c), own("_seq"))
         highest_ = lambda c: F.max_by(own(c), own("_seq"))
         keep = [a for a in self.attributes if a not in self.lookupatts]
         versions = both.groupBy(*[own(a) for a in self.lookupatts], own("_grp")).agg(
             F.min("_seq").alias("_seq"),
             *[(highest_(a) if a in self.type1newest and not absent(a) else lowest(a)).alias(a) for a in keep],
-            *[lowest(c).alias(c) for c in ("_key", "_eff", "_own", "_to", "_base")],
+            *[lowest(c).alias(c) for c in ("_key", "_eff", "_own")],
         )
-        follow = Window.partitionBy(*[own(a) for a in self.lookupatts]).orderBy("_grp")
-        versions = versions.withColumn("_next", F.lead(own("_to")).over(follow)).withColumn("_isnext", F.lead(F.lit(True), 1, False).over(follow))
+        # the row that begins a version closes the one before it; the newest known version says where numbers go on
+        starts = both.where("_step = 1").select(*[own(a).alias(f"_n_{a}") for a in self.lookupatts], (own("_grp") - 1).alias("_n_grp"), own("_to").alias("_next"), F.lit(True).alias("_n_is"))
+        known_versions = before.select(*[own(a).alias(f"_o_{a}") for a in self.lookupatts], own("_version").alias("_base"))
+        versions = versions.join(starts, same([(own(a), own(f"_n_{a}")) for a in self.lookupatts]) & (own("_grp") == own("_n_grp")), "left")
+        versions = versions.join(known_versions, same([(own(a), own(f"_o_{a}")) for a in self.lookupatts]), "left")
+        versions = versions.withColumns({"_isnext": F.coalesce(own("_n_is"), F.lit(False)), "_base": F.coalesce(own("_base"), F.lit(0).cast("bigint"))})
         end = F.when(differs(own("_own"), maxto), own("_own")).when(own("_isnext"), own("_next")).otherwise(maxto)
         out = {}
         for a in keep:
