@@ -24,11 +24,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import annotate, lists, struct
+from .common import annotate, fresh, lists, struct
 
 LONG = 256
 #: Matches whose ids a worker remembers; the memory is emptied when it is full.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Coarse cuts that no match of the pattern crosses: the last white character before a run of others goes with it.
 _CUT = re.compile(f"[{_WHITE}]?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
@@ -284,9 +284,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
             decoded = pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(edge), pa.py_buffer(flat)])
             return struct(ids=lists(pa.array(ids, pa.int32()), many), decoded=decoded)
 
+        work.close = merger._forget  # workers live on, and other operators need the memory
         return work
 
-    return annotate(docs, text_col, "struct<ids:array<int>,decoded:binary>", name, make)
+    return annotate(docs, text_col, "struct<ids:array<int>,decoded:binary>", fresh(docs, name), make)
 
 
 def decode(table: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:

@@ -88,7 +88,7 @@ def strings(array: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return flat[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, limit: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `limit` bytes each; a longer row stands alone and whole."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
@@ -102,7 +102,7 @@ def annotate(df: DataFrame, text: str, result: str, name: str, make: Callable[[]
     """df with one struct column `name` of type `result` (DDL), computed from the texts.
 
     `make()` runs once in each task and returns a function of (bytes, offsets) for some
-    whole rows.  All other columns pass through untouched, nulls of `text` read as empty.
+    whole rows; if it has a `close`, that is called when the task has no more rows.  All other columns pass through untouched, nulls of `text` read as empty.
     """
     schema = T.StructType(df.schema.fields + [T.StructField(name, T._parse_datatype_string(result))])
 
@@ -110,10 +110,11 @@ def annotate(df: DataFrame, text: str, result: str, name: str, make: Callable[[]
         work = make()
         for batch in batches:
             data, offsets = strings(batch.column(batch.schema.get_field_index(text)))
-            parts = [work(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in pieces(offsets)]
-            if parts:
-                column = pa.concat_arrays(parts)
-                yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, name])
+            for a, b in pieces(offsets):  # a piece goes back before the next is worked on
+                column = work(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, column], names=[*batch.schema.names, name])
+        if hasattr(work, "close"):
+            work.close()
 
     return df.mapInArrow(run, schema)
 

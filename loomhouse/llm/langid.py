@@ -177,11 +177,15 @@ class Model:
         many = np.zeros(n, np.int64)
         if len(sym):
             ends = _ends(sym)
-            own = whose[ends + ORDER - 1]
-            logs = self.score(_grams(sym, ORDER)[ends], ORDER)
-            first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-            total[own[first]] = np.add.reduceat(logs, first, axis=0, dtype=np.float64)
-            many = np.bincount(own, minlength=n)
+            grams = _grams(sym, ORDER)
+            step = 1 << 17  # what is looked up at once, so that temporary arrays stay small
+            for a in range(0, len(ends), step):
+                some = ends[a : a + step]
+                own = whose[some + ORDER - 1]
+                logs = self.score(grams[some], ORDER)
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                total[own[first]] += np.add.reduceat(logs, first, axis=0, dtype=np.float64)
+            many = np.bincount(whose[ends + ORDER - 1], minlength=n)
         return -total / np.maximum(many, 1)[:, None], many, letters
 
 
@@ -266,7 +270,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = {r["lang"]: min(1.0, sample / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not share:
         return Judge(None)
-    grid = 1_000_000
+    grid = 1 << 40
     part = F.pmod(F.col("h"), F.lit(grid))
     limits = spark.createDataFrame([(k, int(v * grid)) for k, v in share.items()], "lang string, most bigint")
     taken = rows.join(F.broadcast(limits), "lang").where(part < F.col("most"))  # one short row for each language
