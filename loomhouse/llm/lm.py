@@ -35,7 +35,7 @@ from .words import NOT_SPACE, mix, words
 
 REST, DELETED, OTHER = 0, 1, 2
 #: Bytes of text in a block, and bytes of all text for each shard.
-BLOCK, SHARD = 12 << 20, 16 << 20
+BLOCK, SHARD = 6 << 20, 16 << 20
 END, START = np.uint64(0xE17D), np.uint64(0x57A7)
 #: Context frequencies from 2 ** (BUCKETS - 2) on share the last bucket; the first is that of unseen contexts.
 BUCKETS = 24
