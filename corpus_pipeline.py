@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from loomhouse.llm import bpe, decontaminate, langid, line_dedup, simhash
-from loomhouse.llm.common import release, table, written
+from loomhouse.llm.common import made, release, remove, table, written
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,8 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; a stage's own tables go when its result is written, its input when it is read."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, _ = written(stage(spark, docs, sf_dir), name)
+        before, last = len(made), path
+        docs, path = written(stage(spark, docs, sf_dir), name)
+        for gone in [p for p in made[before:] if p != path] + ([last] if last else []):
+            remove(spark, gone)
         release(spark)
     return docs

@@ -51,16 +51,23 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Paths of the tables that `written` has made and `remove` has not deleted, in order.
+made: list[str] = []
+
+
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table that `written` made and nothing reads any more."""
+    if path in made:
+        made.remove(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
