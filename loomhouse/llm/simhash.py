@@ -37,8 +37,8 @@ from .words import LOWER, NOT_SPACE, mix, spans
 
 #: Rounds of the shuffle: a constant, so the disk that one takes is this share of all points.
 ROUNDS = 4
-#: Points that one bin holds in a round (10 bytes each on the way, some 40 MB while it is searched).
-POINTS_A_BIN = 2_000_000
+#: Points that one bin holds in a round (10 bytes each on the way, some 60 MB while it is searched).
+POINTS_A_BIN = 1_000_000
 SHINGLE = 3
 
 _ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -97,10 +97,11 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerpri
     return annotate(docs, text_col, "struct<bits:bigint>", name, make)
 
 
-def _emit(values: np.ndarray, share: int, rounds: int, bins: int, step: int = 2048) -> Iterator[tuple[int, bytes]]:
+def _emit(values: np.ndarray, share: int, rounds: int, bins: int, most: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
     """(bin, points) of one round; points as 64-bit points, then 16-bit numbers of their flips."""
     odd = (np.bitwise_count(values) & 1).astype(bool)
     for flips, some in ((np.arange(1, 65), values[~odd]), (np.arange(len(FLIPS)), values[odd])):
+        step = max(1, most // len(flips))
         for a in range(0, len(some), step):
             point = (some[a : a + step, None] ^ FLIPS[None, flips]).ravel()
             code = np.tile(flips.astype(np.uint16), len(some[a : a + step]))
@@ -201,29 +202,44 @@ def links(distinct: DataFrame, column: str = "bits", rounds: int = ROUNDS, point
     return out
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, bits, component) for every document; component is the smallest id reachable by links."""
-    marked = fingerprints(docs.select(id_col, text_col), text_col, "fp_")
-    prints, _ = written(marked.select(F.col(id_col).alias("id"), F.col("fp_.bits").alias("bits")), "prints")
+def _components(prints: DataFrame) -> DataFrame:
+    """(bits, root, component): for every fingerprint of (id, bits) its group's root and the smallest id reachable by links."""
     first, _ = written(prints.groupBy("bits").agg(F.min("id").alias("low")), "first")
     tree = components(links(first))
     rooted = first.join(tree.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "low", F.coalesce("root", "bits").alias("root"))
     rooted, _ = written(rooted, "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    named, _ = written(rooted.join(lowest, "root").select("bits", "component"), "named")
-    return prints.join(named, "bits").select("id", "bits", "component")
+    return written(rooted.join(lowest, "root").select("bits", "root", "component"), "named")[0]
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, bits, component) for every document; component is the smallest id reachable by links."""
+    marked = fingerprints(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), "text", "fp")
+    prints, _ = written(marked.select("id", F.col("fp.bits").alias("bits")), "prints")
+    return prints.join(_components(prints), "bits").select("id", "bits", "component")
 
 
 def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each near-duplicate group: that with the group's smallest id.
+    """One document of each near-duplicate group: that with the group's smallest id, and one row of it.
 
-    Rows that repeat an id with another text stand in the group of their own text; of rows
-    equal in id and fingerprint one stays.  Rows with a null id are kept.
+    Rows that repeat an id with another text stand in the group of their own text.  Rows with a
+    null id are kept.
     """
-    mark = fresh(docs, "fp")
-    marked = fingerprints(docs, text_col, mark)
-    found = classes(docs, id_col, text_col).where(F.col("id") == F.col("component"))
-    keep = found.select(F.col("id").alias("k_id"), F.col("bits").alias("k_bits")).distinct()
-    kept = marked.join(keep, (F.col(f"`{id_col}`") == F.col("k_id")) & (F.col(f"`{mark}`.bits") == F.col("k_bits")), "inner")
-    kept = kept.drop("k_id", "k_bits", mark).dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    th, key, hashed = fresh(docs, "th"), fresh(docs, "stays_id"), fresh(docs, "stays_th")
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    marked = fingerprints(docs.select(own.alias("id"), text.alias("text"), F.xxhash64(text).alias("th")), "text", "fp")
+    prints, _ = written(marked.select("id", "th", F.col("fp.bits").alias("bits")), "prints")
+    # whole rows meet only the names of those that stay: groups are told by narrow rows, combined before the shuffle
+    named = prints.where("id is not null").join(_components(prints).select("bits", "root"), "bits")
+    first = named.groupBy("root").agg(F.min(F.struct("id", "th")).alias("first")).select("first.*")
+    times = prints.groupBy(F.col("id").alias("t_id"), F.col("th").alias("t_th")).agg(F.count(F.lit(1)).alias("times"))
+    stay, _ = written(first.join(times, (F.col("id") == F.col("t_id")) & (F.col("th") == F.col("t_th"))).select(F.col("id").alias(key), F.col("th").alias(hashed), "times"), "stay")
+    rows = docs.withColumn(th, F.xxhash64(text))
+    met = lambda some: rows.join(some.select(key, hashed), (own == F.col(key)) & (F.col(f"`{th}`") == F.col(hashed)), "left_semi")
+    out = met(stay.where("times = 1"))
+    several = stay.where("times > 1")
+    if not several.isEmpty():  # rows equal in id and text: one of them
+        out = out.unionByName(met(several).dropDuplicates([id_col, th]))
+    if not prints.where("id is null").isEmpty():
+        out = out.unionByName(rows.where(own.isNull()))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
