@@ -9,8 +9,8 @@ found more than once over all documents is removed from all places but the first
 id, then smallest hash of the text, then first line).  Chunks are matched by hash and
 removed only if their bytes equal those of the place that stays.
 
-What is shuffled: a row of numbers for each chunk, the documents once to meet their chunks,
-and the bytes of repeated chunks.  Hot chunks are counted before the shuffle, and in joins
+What is shuffled: a row of numbers for each chunk, the documents to meet their chunks (those
+with repeated chunks twice), and the bytes of repeated chunks.  Hot chunks are counted before the shuffle, and in joins
 AQE splits them.
 
 Defined results: null texts stay null, empty texts empty; a text that loses all lines becomes
@@ -75,41 +75,43 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     chosen = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "s")).alias("first")).where("n > 1")
     first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("s") == F.col("first.s"))
     repeated = places.join(chosen, ["h1", "h2"]).select("id", "th", F.struct("s", "e", "h1", "h2", first.alias("stays")).alias("span"))
-    of_doc = repeated.groupBy("id", "th").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-
-    spans = fresh(docs, "spans")
-    left = docs.withColumn(fresh(docs, "th"), F.xxhash64(F.col(f"`{text_col}`")))
-    th = left.columns[-1]
-    right = of_doc.select(F.col("id").alias("r_id_"), F.col("th").alias("r_th_"), F.col("spans").alias(spans))
-    met = left.join(right, F.col(f"`{id_col}`").eqNullSafe(F.col("r_id_")) & (F.col(f"`{th}`") == F.col("r_th_")), "left").drop("r_id_", "r_th_")
-    met, _ = written(met, "spans")
+    of_doc, _ = written(repeated.groupBy("id", "th").agg(F.array_sort(F.collect_list("span")).alias("spans")), "spans")
     remove(spark, places_path)
     release(spark)
 
     # the bytes of the repeated chunks, each against those of the place that stays
-    told = met.where(F.col(f"`{spans}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{th}`").alias("th"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{spans}`").alias("spans"))
+    named = of_doc.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), "spans")
+    told = base.join(named, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))).select("id", "th", "text", "spans")
     told = _barrier(told, "id", "th", "spans", lines=F.split("text", "\n", -1))
     chunk = lambda x: F.struct(x["s"].alias("s"), x["h1"].alias("h1"), x["h2"].alias("h2"), x["stays"].alias("stays"), _text(x["s"], x["e"]).alias("chunk"))
-    told = told.select("id", "th", F.inline(F.transform("spans", chunk)))
-    kept, _ = written(told.where("stays").select("h1", "h2", F.col("chunk").alias("kept")).dropDuplicates(["h1", "h2"]), "kept")
+    told, told_path = written(told.select("id", "th", F.inline(F.transform("spans", chunk))), "told")
+    release(spark)
+    kept, kept_path = written(told.where("stays").select("h1", "h2", F.col("chunk").alias("kept")).dropDuplicates(["h1", "h2"]), "kept")
     other = told.where("not stays").join(kept, ["h1", "h2"]).where("chunk != kept").select("id", "th", "s")
     restored, _ = written(other.groupBy("id", "th").agg(F.collect_set("s").alias("stay")), "restored")
+    for path in (told_path, kept_path):
+        remove(spark, path)
     release(spark)
     if restored.isEmpty():  # no two chunks of one hash differ
-        out = met.withColumn("stay__", F.lit(None).cast("array<int>"))
+        of_doc = of_doc.withColumn("stay", F.lit(None).cast("array<int>"))
     else:
-        back = restored.select(F.col("id").alias("r_id_"), F.col("th").alias("r_th_"), F.col("stay").alias("stay__"))
-        out = met.join(back, F.col(f"`{id_col}`").eqNullSafe(F.col("r_id_")) & (F.col(f"`{th}`") == F.col("r_th_")), "left").drop("r_id_", "r_th_")
-    gone = F.filter(F.coalesce(f"`{spans}`", F.array().cast(met.schema[spans].dataType)), lambda x: ~x["stays"] & ~F.coalesce(F.array_contains("stay__", x["s"]), F.lit(False)))
-    name = fresh(docs, "line_dedup")
+        back = restored.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), "stay")
+        of_doc = of_doc.join(back, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").drop("r_id", "r_th")
+
+    # documents meet their own spans, once
+    spans, stay, th, r_id, r_th, lines, gone_name, name = (fresh(docs, n) for n in ("spans", "stay", "th", "r_id", "r_th", "lines", "gone", "line_dedup"))
+    left = docs.withColumn(th, F.xxhash64(F.col(f"`{text_col}`")))
+    right = of_doc.select(F.col("id").alias(r_id), F.col("th").alias(r_th), F.col("spans").alias(spans), F.col("stay").alias(stay))
+    out = left.join(right, F.col(f"`{id_col}`").eqNullSafe(F.col(r_id)) & (F.col(th) == F.col(r_th)), "left")
+    gone = F.filter(F.coalesce(spans, F.array().cast(of_doc.schema["spans"].dataType)), lambda x: ~x["stays"] & ~F.coalesce(F.array_contains(stay, x["s"]), F.lit(False)))
     columns = [f"`{c}`" for c in docs.columns]
-    out = _barrier(out, *columns, gone_=gone, lines_=F.split(F.col(f"`{text_col}`"), "\n", -1))
-    stop = lambda k: F.coalesce(F.get("gone_", k)["s"], F.size("lines_"))
-    start = lambda k: F.coalesce(F.get("gone_", k - 1)["e"], F.lit(0))
-    rest = F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone_")), lambda k: F.slice("lines_", start(k) + 1, stop(k) - start(k))))
-    text = F.when(F.size("gone_") > 0, F.array_join(rest, "\n")).otherwise(F.col(f"`{text_col}`"))
-    lost = F.aggregate("gone_", F.lit(0), lambda n, x: n + x["e"] - x["s"])
-    told = F.struct(F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size("lines_")).cast("bigint").alias("n_lines"), lost.cast("bigint").alias("n_removed")).alias(name)
+    out = _barrier(out, *columns, **{gone_name: gone, lines: F.split(F.col(f"`{text_col}`"), "\n", -1)})
+    stop = lambda k: F.coalesce(F.get(gone_name, k)["s"], F.size(lines))
+    start = lambda k: F.coalesce(F.get(gone_name, k - 1)["e"], F.lit(0))
+    rest = F.flatten(F.transform(F.sequence(F.lit(0), F.size(gone_name)), lambda k: F.slice(lines, start(k) + 1, stop(k) - start(k))))
+    text = F.when(F.size(gone_name) > 0, F.array_join(rest, "\n")).otherwise(F.col(f"`{text_col}`"))
+    lost = F.aggregate(gone_name, F.lit(0), lambda n, x: n + x["e"] - x["s"])
+    told = F.struct(F.when(F.col(f"`{text_col}`").isNull(), 0).otherwise(F.size(lines)).cast("bigint").alias("n_lines"), lost.cast("bigint").alias("n_removed")).alias(name)
     return out.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns], told)
 
 
