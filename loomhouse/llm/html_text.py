@@ -33,6 +33,8 @@ SKIPPED = frozenset("script style noscript template textarea select option butto
 RAW = frozenset("script style textarea title noscript template iframe svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+SCOPES = frozenset("html body table td th caption button".split())
+LISTS = frozenset("ul ol menu".split())
 CONTENT_TAGS = frozenset("article main".split())
 CHROME_TAGS = frozenset("nav footer aside menu header search address".split())
 CONTENT_WORDS = frozenset("article content main post story entry body text".split())
@@ -150,10 +152,18 @@ def blocks(page: str) -> list[Block]:
             continue
         if attributes.endswith("/") and name not in BLOCK and name != "a":
             continue
-        if name == "p" or name == "li":  # these end an open one of their kind
-            if stack and stack[-1][0] == name:
-                _, a, b, c, d = stack.pop()
-                content, chrome, skipped, heading = content - a, chrome - b, skipped - c, heading - d
+        ends = "li" if name == "li" else "p" if name in BLOCK else ""
+        if ends:  # an item ends the open one of its list, a block the open paragraph
+            for x in reversed(stack):
+                if x[0] == ends:
+                    while True:
+                        was, a, b, c, d = stack.pop()
+                        content, chrome, skipped, heading = content - a, chrome - b, skipped - c, heading - d
+                        if was == ends:
+                            break
+                    break
+                if x[0] in SCOPES or (ends == "li" and x[0] in LISTS):
+                    break
         if name == "a":
             links += 1
             continue

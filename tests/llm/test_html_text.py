@@ -33,6 +33,7 @@ def test_tree_fits_its_table():
         (f"<div><p>{LONG}</p><p>{LONG}</p></div><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul>", f"{LONG}\n{LONG}"),
         (f"<article><ul><li><a href=1>First</a> of them</li><li>Second</li></ul><p>{LONG}</p></article>", f"First of them\nSecond\n{LONG}"),
         (f"<body class=\"has-sidebar\"><div class='content with-sidebar'><p>{LONG}</p><p>1 < 2 and more</p></div></body>", f"{LONG}\n1 < 2 and more"),
+        (f"<article><p class=ad>Buy <span class=x>now<p>{LONG}<p class='notice'>Read this<div>{LONG}</div><ul><li class=promo>no<li>yes</ul></article>", f"{LONG}\n{LONG}\nyes"),
         ("<script>never ended", ""),
         ("<nav><a href=1>One</a><a href=2>Two</a></nav>", ""),
     ],
