@@ -87,3 +87,29 @@ def test_pipeline_by_stages(spark):
             assert all(after[i]["ids"] == own.encode_ordinary(t) and after[i]["round_trip"] for i, t in rows)
         docs = out
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, DATA).collect()) == sorted(r["doc_id"] for r in docs.collect())
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, fp int, th int, spans int, langid string, bpe int, contamination int, line_dedup int, gone int, lines int, stay int, row int, id int, bits int, h int"
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_tables(spark, empty):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names, and no rows at all."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(40).collect()
+    extra = tuple(range(14))
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], *extra) for r in docs]
+    rows += [rows[0], rows[0], (None, rows[1][1], None, None, None, *[None] * 14), (7000, None, "en", None, None, *extra), (7001, "", None, "s", 0, *extra), (7002, "the and " * 40_000, "en", "s", 1, *extra), (None, None, None, None, None, *[None] * 14)]
+    rows = [r[:8] + (None if r[8] is None else str(r[8]),) + r[9:] for r in rows]
+    frame = spark.createDataFrame([] if empty else rows, ODD)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, frame, DATA)
+        if name != "bpe":
+            assert out.columns == frame.columns
+        assert (out.count() > 0) != empty
+        if name == "near_dedup" and not empty:
+            assert out.where("doc_id = %d" % rows[0][0]).count() == 1
+
+
+def test_score_is_bounded_and_und_is_for_no_letters(spark):
+    got = queries()["op1_langid"](spark, DATA).collect()
+    assert all(0 <= r["score"] <= 1 for r in got) and {r["lang_pred"] for r in got} <= {"en", "de", "fr", "es", "und"}
