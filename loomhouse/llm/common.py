@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -105,6 +106,18 @@ def pieces(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int
         lo = hi
 
 
+def lean() -> None:
+    """In a Python worker: arrays of a megabyte and more go back to the system when they are freed.
+
+    Left alone, glibc and Arrow's pool keep the largest batch's memory for as long as the worker lives.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def annotate(df: DataFrame, text: str, result: str, name: str, make: Callable[[], Callable[[np.ndarray, np.ndarray], pa.StructArray]]) -> DataFrame:
     """df with one struct column `name` of type `result` (DDL), computed from the texts.
 
@@ -114,6 +127,7 @@ def annotate(df: DataFrame, text: str, result: str, name: str, make: Callable[[]
     schema = T.StructType(df.schema.fields + [T.StructField(name, T._parse_datatype_string(result))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         work = make()
         for batch in batches:
             data, offsets = strings(batch.column(batch.schema.get_field_index(text)))
