@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import annotate, fresh, release, struct, written
 from .components import components
 from .words import LOWER, NOT_SPACE, mix, spans
@@ -202,10 +203,13 @@ def links(distinct: DataFrame, column: str = "bits", rounds: int = ROUNDS, point
     return out
 
 
-def _components(prints: DataFrame) -> DataFrame:
-    """(bits, root, component): for every fingerprint of (id, bits) its group's root and the smallest id reachable by links."""
+def _components(prints: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """(bits, root, component): for every fingerprint of (id, bits) its group's root and the smallest id reachable by links.
+
+    With docs (th, text), pairs of alike shingle sets are links too; prints has th and the sets' columns then.
+    """
     first, _ = written(prints.groupBy("bits").agg(F.min("id").alias("low")), "first")
-    tree = components(links(first))
+    tree = components(links(first)) if docs is None else jaccard.groups(docs, prints, links(first))
     rooted = first.join(tree.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "low", F.coalesce("root", "bits").alias("root"))
     rooted, _ = written(rooted, "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
@@ -219,18 +223,33 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return prints.join(_components(prints), "bits").select("id", "bits", "component")
 
 
-def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _described(docs: DataFrame) -> DataFrame:
+    """docs (with a text) and a struct `fp`: bits, and the columns of the text's shingle set."""
+    heavy = jaccard.weights(docs)
+
+    def make():
+        def work(data: np.ndarray, offsets: np.ndarray) -> pa.StructArray:
+            return struct(bits=pa.array(_fingerprints(data, offsets, SHINGLE).view(np.int64)), **jaccard.described(data, offsets, heavy))
+
+        return work
+
+    return annotate(docs, "text", f"struct<bits:bigint,{jaccard.SET}>", "fp", make)
+
+
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: bool = False) -> DataFrame:
     """One document of each near-duplicate group: that with the group's smallest id, and one row of it.
 
-    Rows that repeat an id with another text stand in the group of their own text.  Rows with a
-    null id are kept.
+    Groups are joined by fingerprints within 3 bits; with `alike` also by `jaccard`'s rule, sets of five-word
+    shingles with a similarity of 0.8 or more.  Rows that repeat an id with another text stand in the
+    group of their own text.  Rows with a null id are kept.
     """
     th, key, hashed = fresh(docs, "th"), fresh(docs, "stays_id"), fresh(docs, "stays_th")
     own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
-    marked = fingerprints(docs.select(own.alias("id"), text.alias("text"), F.xxhash64(text).alias("th")), "text", "fp")
-    prints, _ = written(marked.select("id", "th", F.col("fp.bits").alias("bits")), "prints")
+    texts = docs.select(own.alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
+    marked = _described(texts) if alike else fingerprints(texts, "text", "fp")
+    prints, _ = written(marked.select("id", "th", "fp.*"), "prints")
     # whole rows meet only the names of those that stay: groups are told by narrow rows, combined before the shuffle
-    named = prints.where("id is not null").join(_components(prints).select("bits", "root"), "bits")
+    named = prints.where("id is not null").join(_components(prints, texts.select("th", "text") if alike else None).select("bits", "root"), "bits")
     first = named.groupBy("root").agg(F.min(F.struct("id", "th")).alias("first")).select("first.*")
     times = prints.groupBy(F.col("id").alias("t_id"), F.col("th").alias("t_th")).agg(F.count(F.lit(1)).alias("times"))
     stay, _ = written(first.join(times, (F.col("id") == F.col("t_id")) & (F.col("th") == F.col("t_th"))).select(F.col("id").alias(key), F.col("th").alias(hashed), "times"), "stay")
