@@ -14,8 +14,8 @@ with repeated chunks twice), and the bytes of repeated chunks.  Hot chunks are c
 AQE splits them.
 
 Defined results: null texts stay null, empty texts empty; a text that loses all lines becomes
-empty; the order of the lines that stay is kept; rows equal in id and text are one document
-and lose the same lines; null ids come first in the order; other columns pass through.
+empty; the order of the lines that stay is kept; null ids come first in the order; rows equal in id and
+text are places of their own, so only one of them, any, can keep a chunk; other columns pass through.
 """
 
 from __future__ import annotations
@@ -71,11 +71,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     spark = docs.sparkSession
     base = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
     base = base.withColumn("th", F.xxhash64("text"))
-    places, places_path = written(_spans(_cut(base, "id", "th"), "id", "th").distinct(), "places")
-    chosen = places.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "th", "s")).alias("first")).where("n > 1")
+    places, places_path = written(_spans(_cut(base, "id", "th"), "id", "th").groupBy("id", "th", "s", "e", "h1", "h2").agg(F.count(F.lit(1)).alias("times")), "places")
+    chosen = places.groupBy("h1", "h2").agg(F.sum("times").alias("n"), F.min(F.struct("id", "th", "s")).alias("first")).where("n > 1")
     first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("th") == F.col("first.th")) & (F.col("s") == F.col("first.s"))
-    repeated = places.join(chosen, ["h1", "h2"]).select("id", "th", F.struct("s", "e", "h1", "h2", first.alias("stays")).alias("span"))
-    of_doc, _ = written(repeated.groupBy("id", "th").agg(F.array_sort(F.collect_list("span")).alias("spans")), "spans")
+    repeated = places.join(chosen, ["h1", "h2"]).select("id", "th", "times", F.struct("s", "e", "h1", "h2", first.alias("stays")).alias("span"))
+    of_doc, _ = written(repeated.groupBy("id", "th").agg(F.array_sort(F.collect_list("span")).alias("spans"), F.max("times").alias("times")), "spans")
     remove(spark, places_path)
     release(spark)
 
@@ -99,11 +99,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         of_doc = of_doc.join(back, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th")), "left").drop("r_id", "r_th")
 
     # documents meet their own spans, once
-    spans, stay, th, r_id, r_th, lines, gone_name, name = (fresh(docs, n) for n in ("spans", "stay", "th", "r_id", "r_th", "lines", "gone", "line_dedup"))
+    spans, stay, th, r_id, r_th, lines, gone_name, name, again, place = (fresh(docs, n) for n in ("spans", "stay", "th", "r_id", "r_th", "lines", "gone", "line_dedup", "again", "place"))
+    own = F.col(f"`{id_col}`").eqNullSafe(F.col(r_id)) & (F.col(th) == F.col(r_th))
     left = docs.withColumn(th, F.xxhash64(F.col(f"`{text_col}`")))
+    twins = of_doc.where("times > 1").select(F.col("id").alias(r_id), F.col("th").alias(r_th))
+    if twins.isEmpty():
+        left = left.withColumn(again, F.lit(False))
+    else:  # of rows equal in id and text, all but one are further places
+        rows, _ = written(left.join(twins, own, "left_semi").withColumn(place, F.monotonically_increasing_id()), "twins")
+        one = rows.groupBy(f"`{id_col}`", th).agg(F.min(place).alias(place)).select(place, F.lit(False).alias(again))
+        rows = rows.join(one, place, "left").withColumn(again, F.coalesce(again, F.lit(True))).drop(place)
+        left = left.join(twins, own, "left_anti").withColumn(again, F.lit(False)).unionByName(rows)
     right = of_doc.select(F.col("id").alias(r_id), F.col("th").alias(r_th), F.col("spans").alias(spans), F.col("stay").alias(stay))
-    out = left.join(right, F.col(f"`{id_col}`").eqNullSafe(F.col(r_id)) & (F.col(th) == F.col(r_th)), "left")
-    gone = F.filter(F.coalesce(spans, F.array().cast(of_doc.schema["spans"].dataType)), lambda x: ~x["stays"] & ~F.coalesce(F.array_contains(stay, x["s"]), F.lit(False)))
+    out = left.join(right, own, "left")
+    gone = F.filter(F.coalesce(spans, F.array().cast(of_doc.schema["spans"].dataType)), lambda x: (~x["stays"] | F.col(again)) & ~F.coalesce(F.array_contains(stay, x["s"]), F.lit(False)))
     columns = [f"`{c}`" for c in docs.columns]
     out = _barrier(out, *columns, **{gone_name: gone, lines: F.split(F.col(f"`{text_col}`"), "\n", -1)})
     stop = lambda k: F.coalesce(F.get(gone_name, k)["s"], F.size(lines))

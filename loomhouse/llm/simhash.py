@@ -236,12 +236,13 @@ def _described(docs: DataFrame) -> DataFrame:
     return annotate(docs, "text", f"struct<bits:bigint,{jaccard.SET}>", "fp", make)
 
 
-def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: bool = False) -> DataFrame:
+def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alike: bool = False, null_ids: bool = False) -> DataFrame:
     """One document of each near-duplicate group: that with the group's smallest id, and one row of it.
 
     Groups are joined by fingerprints within 3 bits; with `alike` also by `jaccard`'s rule, sets of five-word
     shingles with a similarity of 0.8 or more.  Rows that repeat an id with another text stand in the
-    group of their own text.  Rows with a null id are kept.
+    group of their own text.  Rows with a null id are all kept; with `null_ids` they are members like
+    others, behind every id, so that one row of each group stays.
     """
     th, key, hashed = fresh(docs, "th"), fresh(docs, "stays_id"), fresh(docs, "stays_th")
     own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
@@ -249,16 +250,17 @@ def distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", al
     marked = _described(texts) if alike else fingerprints(texts, "text", "fp")
     prints, _ = written(marked.select("id", "th", "fp.*"), "prints")
     # whole rows meet only the names of those that stay: groups are told by narrow rows, combined before the shuffle
-    named = prints.where("id is not null").join(_components(prints, texts.select("th", "text") if alike else None).select("bits", "root"), "bits")
-    first = named.groupBy("root").agg(F.min(F.struct("id", "th")).alias("first")).select("first.*")
+    members = prints if null_ids else prints.where("id is not null")
+    named = members.join(_components(prints, texts.select("th", "text") if alike else None).select("bits", "root"), "bits")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("last"), "id", "th")).alias("first")).select("first.*")
     times = prints.groupBy(F.col("id").alias("t_id"), F.col("th").alias("t_th")).agg(F.count(F.lit(1)).alias("times"))
-    stay, _ = written(first.join(times, (F.col("id") == F.col("t_id")) & (F.col("th") == F.col("t_th"))).select(F.col("id").alias(key), F.col("th").alias(hashed), "times"), "stay")
+    stay, _ = written(first.join(times, F.col("id").eqNullSafe(F.col("t_id")) & (F.col("th") == F.col("t_th"))).select(F.col("id").alias(key), F.col("th").alias(hashed), "times"), "stay")
     rows = docs.withColumn(th, F.xxhash64(text))
-    met = lambda some: rows.join(some.select(key, hashed), (own == F.col(key)) & (F.col(f"`{th}`") == F.col(hashed)), "left_semi")
+    met = lambda some: rows.join(some.select(key, hashed), own.eqNullSafe(F.col(key)) & (F.col(f"`{th}`") == F.col(hashed)), "left_semi")
     out = met(stay.where("times = 1"))
     several = stay.where("times > 1")
     if not several.isEmpty():  # rows equal in id and text: one of them
         out = out.unionByName(met(several).dropDuplicates([id_col, th]))
-    if not prints.where("id is null").isEmpty():
+    if not null_ids and not prints.where("id is null").isEmpty():
         out = out.unionByName(rows.where(own.isNull()))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

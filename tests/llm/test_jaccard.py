@@ -76,3 +76,12 @@ def test_stage_drops_a_near_copy_beyond_three_bits(spark):
     both = shingles(a) & shingles(b)
     assert 5 * len(both) >= 4 * len(shingles(a) | shingles(b))
     assert [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, documents(spark, [(4, b), (3, a)]), "").collect()] == [3]
+
+
+def test_stage_keeps_one_row_of_a_group_with_null_ids(spark):
+    import corpus_pipeline
+
+    t, u = prose(1, 80), prose(2, 80)
+    rows = [(None, t), (3, t), (None, t), (None, u), (None, u), (None, f"{u} more")]
+    out = [tuple(r) for r in corpus_pipeline.near_dedup(spark, documents(spark, rows).repartition(3), "").select("doc_id", "text").collect()]
+    assert len(out) == 2 and (3, t) in out and {i for i, x in out if x != t} == {None}

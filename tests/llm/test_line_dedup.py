@@ -85,6 +85,19 @@ def test_columns_repeats_and_null_ids(spark):
     assert line_dedup.clean(frame).columns == frame.columns
 
 
+@pytest.mark.parametrize("i", [None, 5])
+def test_rows_equal_in_id_and_text_are_places(spark, i):
+    """One row keeps the text, whether its id is null or repeated; other columns are those of each row."""
+    text = f"{prose(5, 60)}\n{prose(6, 3)}\n{prose(7, 60)}"
+    rows = [(i, text, k) for k in range(4)] + [(9, f"own line\n{text}", 4), (8, "alone", 5), (8, "alone", 6)]
+    out = line_dedup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string, again int").repartition(3)).collect()
+    middle = text.split("\n")[1]  # a short line alone is no chunk that may be removed
+    assert sorted(r["text"] for r in out if r["doc_id"] == i) == sorted([text, middle, middle, middle])
+    assert sorted(r["line_dedup"]["n_removed"] for r in out if r["doc_id"] == i) == [0, 2, 2, 2]
+    assert sorted(r["again"] for r in out) == list(range(7))
+    assert sorted(r["text"] for r in out if r["doc_id"] not in (i,)) == ["alone", "alone", f"own line\n{middle}"]
+
+
 def test_no_python_in_the_plan(spark):
     plan = line_dedup.dedup(documents(spark, rows()))._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
