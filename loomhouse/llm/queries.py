@@ -126,20 +126,34 @@ select query_id, rank, vec_id, score from r where rank <= 20
 OP8_SQL = r"""
 with d as (select doc_id, text, string_split(text, chr(10)) as ls from documents),
 l as (select doc_id, len(ls) as n, unnest(range(1, len(ls) + 1)) as i, unnest(ls) as line from d where text is not null),
-h as (
-  select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h, length(line) - length(replace(line, ' ', '')) >= 20 as long from l),
-r as (select *, h * 31 + coalesce(lag(h) over w, 0) as r from h window w as (partition by doc_id order by i)),
+h as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) as h from l),
+m as (select doc_id, n, i, (h * 31 + lead(h) over (partition by doc_id order by i)) % 9 as m from h),
+p as (
+  select *, lag(i) over w as last_i, lag(m) over w as last_m from m where m > 0 window w as (partition by doc_id order by i)),
 b as (
-  select *, (i = 1 or long or coalesce(lag(long) over w, false) or (r < lag(r) over w and r <= coalesce(lead(r) over w, r))) as begins
-  from r window w as (partition by doc_id order by i)),
-k as (select *, sum(case when begins then 1 else 0 end) over (partition by doc_id order by i) as k from b),
-c as (select doc_id, k, min(i) as s, count(*) as n, string_agg(line, chr(10) order by i) as chunk, bool_or(long) as long from k group by doc_id, k),
-g as (select *, row_number() over (partition by chunk order by doc_id, s) as r from c where n > 1 or long),
-kept as (select k.doc_id, k.i, k.line from k left join g on k.doc_id = g.doc_id and k.k = g.k where coalesce(g.r, 1) = 1),
-t as (select doc_id, count(*) as n, string_agg(line, chr(10) order by i) as text from kept group by doc_id)
-select d.doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(coalesce(len(ls), 0) - coalesce(t.n, 0) as bigint) as n_removed,
-  cast(length(coalesce(t.text, '')) as bigint) as n_chars, sha256(coalesce(t.text, '')) as text_sha256
-from d left join t using (doc_id)
+  select doc_id, n, case when m % 3 > 0 then i else last_i end as s, i + 2 as e from p
+  where m >= 3 and (m % 3 > 0 or coalesce(last_m in (1, 2), false))),
+c as (
+  select doc_id, n, s + j * (e - s) // many as s, s + (j + 1) * (e - s) // many as e
+  from (select *, (e - s + 31) // 32 as many, unnest(range((e - s + 31) // 32)) as j from b)),
+o as (select *, coalesce(lag(s) over w, 1) as lo, coalesce(lead(e) over w, n + 1) as hi from c window w as (partition by doc_id order by s)),
+t as (
+  select o.doc_id, s, e, lo, hi, string_agg(line, chr(10) order by i) as chunk
+  from o join l on o.doc_id = l.doc_id and i >= s and i < e group by o.doc_id, s, e, lo, hi),
+g as (
+  select *, row_number() over w as r, first_value(doc_id) over w as doc_0, first_value(s) over w as s_0, first_value(e) over w as e_0,
+    first_value(lo) over w as lo_0, first_value(hi) over w as hi_0
+  from t window w as (partition by chunk order by doc_id, s)),
+x as (select *, greatest(lo, s - (s_0 - lo_0)) as least, least(hi, e + (hi_0 - e_0)) as most from g where r > 1),
+y as (
+  select x.doc_id, x.s, x.least, x.most, max(a.i) filter (a.i < x.s and a.line <> k.line) as below, min(a.i) filter (a.i >= x.e and a.line <> k.line) as above
+  from x join l a on a.doc_id = x.doc_id and a.i >= x.least and a.i < x.most join l k on k.doc_id = x.doc_0 and k.i = a.i - x.s + x.s_0
+  group by x.doc_id, x.s, x.least, x.most),
+z as (select distinct l.doc_id, l.i from l join y on l.doc_id = y.doc_id and l.i >= coalesce(below + 1, least) and l.i < coalesce(above, most)),
+k as (select l.doc_id, count(*) as n, string_agg(line, chr(10) order by i) as text from l anti join z on l.doc_id = z.doc_id and l.i = z.i group by l.doc_id)
+select d.doc_id, cast(coalesce(len(ls), 0) as bigint) as n_lines, cast(coalesce(len(ls), 0) - coalesce(k.n, 0) as bigint) as n_removed,
+  cast(length(coalesce(k.text, '')) as bigint) as n_chars, sha256(coalesce(k.text, '')) as text_sha256
+from d left join k using (doc_id)
 """
 
 
