@@ -13,9 +13,9 @@ their bytes equal those of the place that stays.  The lines beside a removed chu
 beginning of the chunk before and the end of the chunk after, go as far as they too equal, without a
 gap, the lines beside the place that stays.  A single line that is repeated by itself always stays.
 
-What is shuffled: a row of numbers for each chunk, the documents to meet their chunks (those
-with repeated chunks twice), and the bytes of repeated chunks with the lines beside them.  Hot chunks
-are counted before the shuffle, and in joins AQE splits them.
+What is shuffled: a row of numbers for each chunk, the documents to meet their chunks (twice),
+and the bytes of repeated chunks with the lines beside them.  Hot chunks are counted before the
+shuffle, and in joins AQE splits them.  What documents meet grows with the corpus, so it is never broadcast.
 
 Defined results: null texts stay null, empty texts empty; a text that loses all lines becomes
 empty; the order of the lines that stay is kept; null ids come first in the order; rows equal in id and
@@ -106,7 +106,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     release(spark)
 
     # the bytes of the repeated chunks and of the lines beside them, each against those of the place that stays
-    named = of_doc.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), "spans")
+    named = of_doc.select(F.col("id").alias("r_id"), F.col("th").alias("r_th"), "spans").hint("merge")
     told = base.join(named, F.col("id").eqNullSafe(F.col("r_id")) & (F.col("th") == F.col("r_th"))).select("id", "th", "text", "spans")
     told = _barrier(told, "id", "th", "spans", lines=F.split("text", "\n", -1))
 
@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         one = rows.groupBy(f"`{id_col}`", th).agg(F.min(place).alias(place)).select(place, F.lit(False).alias(again))
         rows = rows.join(one, place, "left").withColumn(again, F.coalesce(again, F.lit(True))).drop(place)
         left = left.join(twins, own, "left_anti").withColumn(again, F.lit(False)).unionByName(rows)
-    right = of_doc.select(F.col("id").alias(r_id), F.col("th").alias(r_th), F.col("spans").alias(spans))
+    right = of_doc.select(F.col("id").alias(r_id), F.col("th").alias(r_th), F.col("spans").alias(spans)).hint("merge")
     out = left.join(right, own, "left")
     gone = F.filter(F.coalesce(spans, F.array().cast(of_doc.schema["spans"].dataType)), lambda x: ~x["twin"] | F.col(again))
     columns = [f"`{c}`" for c in docs.columns]
