@@ -45,6 +45,7 @@ def test_pages(page, want):
 
 W = lambda n: " ".join(f"word{k}" for k in range(n))
 LINKS = "<ul>" + "".join(f"<li><a href={k}>Go {k}</a></li>" for k in range(5)) + "</ul>"
+MORE = LINKS.replace("Go", "Read also number")
 
 #: Pages without an article element, most without any name of a region, and their main text by hand.
 BY_HAND = [
@@ -57,6 +58,8 @@ BY_HAND = [
     (f"<section class=\"more-about-cats\"><p>{W(60)}</p><p>{W(48)}</p></section><div class=related-posts><p>{W(40)}</p></div>", [60, 48]),
     (f"<div class=entry><p>{W(50)}</p><p>{W(2)}</p></div><p>{W(30)}</p><div class='share-buttons'>{W(4)}</div>", [50, 2]),
     (f"<h1 class=post-title>{W(6)}</h1><div><p>{W(60)}</p><p>{W(33)}</p></div>", [6, 60, 33]),
+    (f"<h1>{W(8)}</h1><p>{W(60)}</p><p>{W(50)}</p><div>{W(6)}</div>{MORE}", [8, 60, 50]),
+    (f"<div>{W(5)}</div>{MORE}<p>{W(44)}</p><p>{W(6)}</p><p>{W(51)}</p><div>{W(7)}</div>{MORE}", [44, 6, 51]),
     (f"<main><p>{W(20)} <math><mi>x</mi></math> {W(2)}</p><audio>{W(3)}</audio><p>{W(9)}<button>{W(2)}</button></main>", [23, 3, 9]),
 ]
 
