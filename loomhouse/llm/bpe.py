@@ -2,10 +2,11 @@
 
 Texts are split by the tokenizer's pattern and each match is encoded by itself.  Distinct
 matches of a batch are put in buckets by length; a bucket is a matrix of token ids with one
-row for each match.  In each round every row merges its leftmost pair of least rank, found
+row for each match, however long.  In each round every row merges its leftmost pair of least rank, found
 in an open-addressed hash table of all pairs whose joined bytes are a token, and is
-compacted; rows without a pair leave the matrix.  Rows longer than LONG bytes go to a heap
-over a linked list, which gives the same merges in n log n steps.
+compacted; rows without a pair leave the matrix.  A round also takes the row's further pairs of that
+rank, if one merge after the other would come to the same: if no merge makes a pair of lower rank.  So
+a long row needs about as many rounds as it has distinct ranks, not as it has bytes.
 
 Defined results: null and empty texts give no ids and no bytes; repeated rows are each
 encoded; other columns pass through.
@@ -14,11 +15,11 @@ encoded; other columns pass through.
 from __future__ import annotations
 
 import base64
-import heapq
 import re
 from itertools import chain
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,11 +27,10 @@ from pyspark.sql import types as T
 
 from .common import annotate, fresh, lists, struct
 
-LONG = 256
 #: Matches whose ids a worker remembers; the memory is emptied when it is full.
 REMEMBERED = 250_000
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: Coarse cuts that no match of the pattern crosses: the last white character before a run of others goes with it.
+#: Coarse cuts that no match of public_tokenizers.PATTERN crosses: the last white character before a run of others goes with it.
 _CUT = re.compile(f"[{_WHITE}]?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 
 
@@ -51,6 +51,7 @@ class Merger:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.pattern = regex.compile(pattern)
+        self.coarse = pattern == public_tokenizers.PATTERN  # texts split by another pattern are cut by its matches alone
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         most = max(ranks.values()) + 1
         self.bits = np.uint64(max(1, int(most).bit_length()))
@@ -61,7 +62,6 @@ class Merger:
                 if a is not None and b is not None:
                     keys.append(a << int(self.bits) | b)
                     out.append(rank)
-        self.pairs = dict(zip(keys, out))
         self._hash(np.array(keys, np.uint64), np.array(out, np.int64))
         size = np.zeros(most + 1, np.int64)
         for token, rank in ranks.items():
@@ -119,66 +119,76 @@ class Merger:
         ids = np.zeros((n, width), np.int32)
         mask = np.arange(width)[None, :] < length[:, None]
         ids[mask] = self.byte_ids[np.frombuffer(b"".join(rows), np.uint8)]
-        rank = np.full((n, max(width - 1, 1)), self.NONE, np.int32)
-        if width > 1:
-            pair = mask[:, 1:]
-            rank[pair] = self.rank(ids[:, :-1][pair], ids[:, 1:][pair])
+        rank = np.full((n, width), self.NONE, np.int32)  # of the pair that begins at each place
+        pair = mask[:, 1:]
+        rank[:, :-1][pair] = self.rank(ids[:, :-1][pair], ids[:, 1:][pair])
         ended, sizes, flat = [], [], []
         live = np.arange(n)
         while len(live):
-            at = rank.argmin(axis=1)
-            here = np.arange(len(live))
-            best = rank[here, at]
+            best = rank.min(axis=1)
             done = best == self.NONE
             if done.any():
                 ended.append(live[done])
                 sizes.append(length[done])
                 flat.append(ids[done][np.arange(ids.shape[1])[None, :] < length[done][:, None]])
                 keep = ~done
-                live, ids, rank, length, at, best = live[keep], ids[keep], rank[keep], length[keep], at[keep], best[keep]
+                live, length, best = live[keep], length[keep], best[keep]
                 if not len(live):
                     break
                 wide = int(length.max())
-                ids, rank = ids[:, :wide], rank[:, : max(wide - 1, 1)]
-                here = np.arange(len(live))
+                ids, rank = ids[keep, :wide], rank[keep, :wide]
+            row, at = self._chosen(ids, rank, best, length)
             width = ids.shape[1]
-            # merge at `at`, and move what follows one place to the left
-            ids[here, at] = best
-            column = np.arange(width - 1)[None, :]
-            ids[:, :-1] = np.where(column > at[:, None], ids[:, 1:], ids[:, :-1])
-            if rank.shape[1] > 1:
-                column = column[:, : rank.shape[1] - 1]
+            # merge at `at`, and move what follows to the left
+            ids[row, at] = best[row]
+            if len(row) == len(live):  # one merge in each row
+                column = np.arange(width - 1)[None, :]
+                ids[:, :-1] = np.where(column > at[:, None], ids[:, 1:], ids[:, :-1])
                 rank[:, :-1] = np.where(column >= at[:, None], rank[:, 1:], rank[:, :-1])
-            rank[:, -1] = self.NONE
-            length -= 1
-            for left in (at - 1, at):  # only the pairs beside the merge are new
-                ok = np.flatnonzero((left >= 0) & (left + 1 < length))
-                rank[ok, left[ok]] = self.rank(ids[ok, left[ok]], ids[ok, left[ok] + 1])
-            last = np.flatnonzero(at + 1 >= length)
-            last = last[at[last] < rank.shape[1]]
-            rank[last, at[last]] = self.NONE
+                rank[:, -1] = self.NONE
+                length -= 1
+            else:
+                keep = np.arange(width)[None, :] < length[:, None]
+                keep[row, at + 1] = False
+                length = keep.sum(axis=1)
+                to = np.cumsum(keep, axis=1) - 1
+                at = to[row, at]
+                mask = np.arange(width)[None, :] < length[:, None]
+                for some in (ids, rank):
+                    some[mask] = some[keep]
+                rank[~mask] = self.NONE
+            for left in (at - 1, at):  # only the pairs beside a merge are new
+                ok = (left >= 0) & (left + 1 < length[row])
+                r, c = row[ok], left[ok]
+                rank[r, c] = self.rank(ids[r, c], ids[r, c + 1])
+            rank[row, np.minimum(at, length[row] - 1)] = np.where(at + 1 < length[row], rank[row, np.minimum(at, length[row] - 1)], self.NONE)
         return np.concatenate(ended), np.concatenate(sizes), np.concatenate(flat)
 
-    def _heap(self, row: bytes) -> np.ndarray:
-        """The same merges for one long row, with a heap of pairs and a linked list."""
-        ids = [int(i) for i in self.byte_ids[np.frombuffer(row, np.uint8)]]
-        n, bits, pairs = len(ids), int(self.bits), self.pairs
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get(ids[i] << bits | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j] = r, False
-            after[i] = after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < n and (s := pairs.get(ids[x] << bits | ids[after[x]])) is not None:
-                    heapq.heappush(heap, (s, x, ids[x], ids[after[x]]))
-        return np.array([t for t, ok in zip(ids, alive) if ok], np.int32)
+    def _chosen(self, ids: np.ndarray, rank: np.ndarray, best: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) of the merges of a round: each row's leftmost pair of least rank, and the further
+        pairs of that rank that would be merged right after it, one by one, as no merge makes a pair of lower rank."""
+        row, at = np.nonzero(rank == best[:, None])
+        if len(row) == len(best):
+            return row, at
+        new = np.ones(len(row), bool)  # of pairs that overlap, every other one, from the left
+        new[1:] = (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)
+        place = np.arange(len(row))
+        odd = (place - place[new][np.cumsum(new) - 1]) % 2 == 1
+        row, at = row[~odd], at[~odd]
+        first = np.ones(len(row), bool)
+        first[1:] = row[1:] != row[:-1]
+        made, width = best[row], ids.shape[1]
+        # what stands before a merge when it is made is merged already, what stands behind it is not
+        beside = np.zeros(len(row), bool)
+        beside[1:] = ~first[1:] & (at[1:] == at[:-1] + 2)
+        before = np.where(beside, made, ids[row, np.maximum(at - 1, 0)])
+        lower = (at > 0) & (self.rank(before, made) < made)
+        inside = at + 2 < length[row]
+        lower |= inside & (self.rank(made, ids[row, np.minimum(at + 2, width - 1)]) < made)
+        alone = np.zeros(len(best), bool)
+        alone[row[lower]] = True
+        keep = first | ~alone[row]
+        return row[keep], at[keep]
 
     def merge(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(all ids, first id and number of ids of each match); a match that is a token needs no merging."""
@@ -189,9 +199,6 @@ class Merger:
             if token is not None:
                 whole.append(k)
                 tokens.append(token)
-            elif len(row) > LONG:
-                ids = self._heap(row)
-                parts.append((np.array([k]), np.array([len(ids)]), ids))
             else:
                 buckets.setdefault(-(-len(row) // 4) * 4 if len(row) <= 32 else 1 << (len(row) - 1).bit_length(), []).append(k)
         parts.append((np.array(whole, np.int64), np.ones(len(whole), np.int64), np.array(tokens, np.int32)))
@@ -211,10 +218,10 @@ class Merger:
         """Remember the ids of pieces of text that are not known yet."""
         matches, many = [], np.ones(len(new), np.int64)
         for k, p in enumerate(new):
-            if (p[1:] if p[0] == " " else p).isalpha():  # letters, with a blank before them or not: one match
+            if not self.coarse or (p[1:] if p[0] == " " else p).isalpha():  # letters, with a blank before them or not: one match
                 matches.append(p)
             else:
-                own = self.pattern.findall(p)
+                own = [m[0] for m in self.pattern.finditer(p)]
                 matches += own
                 many[k] = len(own)
         number = {m: k for k, m in enumerate(dict.fromkeys(matches))}
@@ -235,7 +242,7 @@ class Merger:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        cut = [_CUT.findall(t) for t in texts]
+        cut = [_CUT.findall(t) if self.coarse else [m[0] for m in self.pattern.finditer(t) if m[0]] for t in texts]
         flat = list(chain.from_iterable(cut))
         if len(self.known) > REMEMBERED:
             self._forget()
@@ -291,14 +298,18 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 
 
 def decode(table: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", name: str = "decoded") -> DataFrame:
-    """table with the bytes of its token ids; null ids give no bytes.  An id outside the vocabulary raises."""
+    """table with the bytes of its token ids; null ids give no bytes.  An id outside the vocabulary, and a null within a list, raises."""
+    name = fresh(table, name)
     sent = table.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def run(batches):
         merger = _merger(sent.value, pattern)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids_col))
-            ids = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = column.flatten()
+            if flat.null_count:
+                raise ValueError("an id outside the vocabulary")
+            ids = flat.to_numpy(zero_copy_only=False).astype(np.int64)
             many = np.array([0 if x is None else x for x in pa.compute.list_value_length(column).to_pylist()], np.int64)
             if len(ids) and (ids.min() < 0 or ids.max() >= len(merger.token_size) or not merger.token_size[ids].all()):
                 raise ValueError("an id outside the vocabulary")
