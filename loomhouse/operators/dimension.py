@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
-from loomhouse.plans.store import Warehouse, getdefaulttargetconnection, staged
+from loomhouse.plans.store import Held, Warehouse, getdefaulttargetconnection, staged
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from .matching import Mapped, differs, extreme, mapped, own, prefixed, require,
 ARRIVAL = "_arrival"
 
 
-class Dimension:
+class Dimension(Held):
     """A dimension with a surrogate key, attributes, and a business key (`lookupatts`, all attributes if not given).
 
     idfinder(new rows) -> Column gives keys in place of consecutive ones; rowexpander(new rows)
@@ -68,8 +68,10 @@ class Dimension:
             if self.targetconnection is None:
                 raise ValueError("a table or a warehouse is needed")
             table = self.targetconnection.read(name)
+            self.published(table)
+        else:
+            self.table = table
         require(table, self.all)
-        self.table = table
         if self.targetconnection is not None:
             self.targetconnection.register(self)
 
@@ -187,7 +189,7 @@ class Dimension:
         """The rows with their members' keys, after members that were absent have been inserted."""
         new = self._expanded(self.missing(df, namemapping))
         kept = self._with_keys(new, [ARRIVAL])
-        self.table = self.table.unionByName(self._member(kept, "_key"))
+        self.grow(self._member(kept, "_key"))
         return self.lookup(df, namemapping, into)
 
     def insert(self, df: DataFrame, namemapping: Mapped = None, into: str | None = None) -> DataFrame:
@@ -200,7 +202,7 @@ class Dimension:
             rows = rows.withColumn(self.key, own(key))
         keyed = self._with_keys(rows, order)
         member = keyed.select(own("_key"), *[own(f"_a_{a}").alias(a) for a in self.attributes if f"_a_{a}" in keyed.columns])
-        self.table = self.table.unionByName(self._member(member, "_key"))
+        self.grow(self._member(member, "_key"))
         return keyed.select(*[own(c) for c in df.columns if c != into], own("_key").alias(into))
 
     def endload(self) -> None:

@@ -8,7 +8,7 @@ from itertools import chain
 from typing import Any
 
 from loomhouse.functions.scalars import getdbfriendlystr
-from loomhouse.plans.store import Error, Warehouse, getdefaulttargetconnection, shared_dir, staged
+from loomhouse.plans.store import Error, Held, Warehouse, getdefaulttargetconnection, shared_dir, staged
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +18,7 @@ from .matching import Mapped, differs, extreme, mapped, own, prefixed, require,
 ARRIVAL = "_arrival"
 
 
-class FactTable:
+class FactTable(Held):
     """Facts named by `keyrefs` (references to dimensions), with measures; `table` is the current state."""
 
     def __init__(self, name: str, keyrefs: Sequence[str], measures: Sequence[str] = (), targetconnection: Warehouse | None = None, *, table: DataFrame | None = None, order_by: Sequence[str] | None = None, dependson: Sequence[Any] = ()):
@@ -30,8 +30,10 @@ class FactTable:
             if self.targetconnection is None:
                 raise ValueError("a table or a warehouse is needed")
             table = self.targetconnection.read(name)
+            self.published(table)
+        else:
+            self.table = table
         require(table, self.all)
-        self.table = table
         if self.targetconnection is not None:
             self.targetconnection.register(self)
 
@@ -48,7 +50,7 @@ class FactTable:
     def insert(self, df: DataFrame, namemapping: Mapped = None) -> DataFrame:
         """Append the rows.  Returns what was appended."""
         new = self._shaped(self._rows(df, namemapping, arrival=False))
-        self.table = self.table.unionByName(new)
+        self.grow(new)
         return new
 
     def _on(self, prefix: str) -> Column:
@@ -79,7 +81,7 @@ class FactTable:
                 wrong = wrong | differs(own(m), own(f"_t_{m}"))
             if here and not rows.join(all_facts, self._on("_t_")).where(wrong).isEmpty():
                 raise ValueError("a fact exists with other measures")
-        self.table = before.unionByName(new)
+        self.grow(new)
         there = prefixed(before.select(*self.keyrefs).distinct().withColumn("hit", F.lit(True)), "_t_")
         names = {k: mapped(k, namemapping) for k in self.keyrefs}
         met = df.join(there, same([(own(names[k]), own(f"_t_{k}")) for k in self.keyrefs], null_safe=False), "left")
@@ -101,7 +103,7 @@ class AccumulatingSnapshotFactTable(FactTable):
     """Facts that are filled in over time: later rows set otherrefs and measures, nulls set nothing unless told otherwise.
 
     factexpander: {attribute: f(changed)} where changed(name) is a Column that is true if the row
-    changed `name`; the expression may use the row's other attributes as they then stand.
+    changed `name` of a fact that was there; the expression may use the row's other attributes as they then stand.
     """
 
     def __init__(self, name: str, keyrefs: Sequence[str], otherrefs: Sequence[str] = (), measures: Sequence[str] = (), ignorenonerefs: bool = True, ignorenonemeasures: bool = True, factexpander: Mapping[str, Callable[[Callable[[str], Column]], Column]] | None = None, **named: Any):
@@ -122,16 +124,20 @@ class AccumulatingSnapshotFactTable(FactTable):
         if only_known:
             rows = rows.join(prefixed(old.select(*self.keyrefs).distinct(), "_o_"), same([(own(k), own(f"_o_{k}")) for k in self.keyrefs], null_safe=False), "left_semi")
         both = shape(start, 0).unionByName(shape(rows, 1))
+        rank = F.struct("_old", ARRIVAL)
+        skips = {a: self.ignores[a] or a not in here for a in self.measures}
+        if not self.factexpander:  # the last value of each, combined before the shuffle: a fact of very many rows is one row for each task
+            last = {a: F.max_by(own(a), F.when(own(a).isNotNull() | F.lit(not skips[a]), rank)) for a in self.measures}
+            return both.groupBy(*keys).agg(*[v.alias(a) for a, v in last.items()])
         window = Window.partitionBy(*keys).orderBy("_old", ARRIVAL)
         upto = window.rowsBetween(Window.unboundedPreceding, 0)
-        state = both.withColumns({a: F.last(own(a), ignorenulls=True if self.ignores[a] or a not in here else False).over(upto) for a in self.measures if a not in self.factexpander})
-        if self.factexpander:
-            changed = lambda name: (own("_old") == 1) & differs(own(name), F.lag(own(name)).over(window))
-            # an expanded attribute keeps its value until the next row that its expression speaks of
-            made = {a: F.coalesce(f(changed), own(a)) for a, f in self.factexpander.items()}
-            state = state.withColumns(made)
-            state = state.withColumns({a: F.last(own(a), ignorenulls=True).over(upto) for a in self.factexpander})
-        rank = F.struct("_old", ARRIVAL)
+        state = both.withColumns({a: F.last(own(a), ignorenulls=skips[a]).over(upto) for a in self.measures if a not in self.factexpander})
+        # a row that inserts its fact changes nothing, so it is not expanded
+        changed = lambda name: F.coalesce(F.lag("_old").over(window).isNotNull() & differs(own(name), F.lag(own(name)).over(window)), F.lit(False))
+        # an expanded attribute keeps its value until the next row that its expression speaks of
+        made = {a: F.coalesce(f(changed), own(a)) for a, f in self.factexpander.items()}
+        state = state.withColumns(made)
+        state = state.withColumns({a: F.last(own(a), ignorenulls=True).over(upto) for a in self.factexpander})
         return state.groupBy(*keys).agg(*[F.max_by(own(a), rank).alias(a) for a in self.measures])
 
     def _merge(self, folded: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ def numbered(df: DataFrame, order_by: Sequence[str | Column], name: str, base: i
 
     Rows are dealt to ranges of the order and written with their range, so the ranges stay the
     same; each range is numbered by itself after the rows of the ranges before it, whose
-    counts (one for each range) are all that the driver gets.
+    counts (one for each range) are all that the driver gets and joins again.
     """
     order = _columns(order_by)
     part = "_range"
@@ -26,13 +26,18 @@ def numbered(df: DataFrame, order_by: Sequence[str | Column], name: str, base: i
     counts = {r[0]: r[1] for r in rows.groupBy(part).count().collect()}
     if not counts:
         return df.withColumn(name, F.lit(0).cast("bigint"))
-    before, at = [], base
-    for k in range(max(counts) + 1):
-        before.append(at)
-        at += counts.get(k, 0)
     rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    offset = F.element_at(F.lit(before), F.col(part) + 1)
-    return rows.withColumn(name, offset.cast("bigint") + rank.cast("bigint")).drop(part)
+    met = rows.withColumn("_rank", rank.cast("bigint")).join(_offsets(df, counts, base), part)
+    return met.withColumn(name, F.col("_before") + F.col("_rank")).drop(part, "_rank", "_before")
+
+
+def _offsets(df: DataFrame, counts: dict[int, int], base: int) -> DataFrame:
+    """(range, rows of the ranges before it): one row for each range."""
+    before, at = [], base
+    for k in sorted(counts):
+        before.append((k, at))
+        at += counts[k]
+    return df.sparkSession.createDataFrame(before, "_range int, _before bigint")
 
 
 def highest(df: DataFrame, key: str) -> int:
@@ -52,10 +57,13 @@ class SharedSequence:
         return taken
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        """df with a unique number in each row, by task and place in it."""
-        out = df.withColumn(name, F.lit(self.next).cast("bigint") + F.monotonically_increasing_id())
-        self.next += 1 << 53  # what the largest number of tasks could take
-        return out
+        """df with a unique number in each row, the same whenever it is used; the next call goes on with a new interval."""
+        rows = staged(df.withColumns({"_range": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}), "sequence")
+        counts = {r[0]: r[1] for r in rows.groupBy("_range").count().collect()}
+        # an id is the task's number and, in its lower 33 bits, the row's place in the task
+        met = rows.join(_offsets(df, counts, self.next), "_range")
+        self.next += -(-sum(counts.values()) // self.intervallen) * self.intervallen
+        return met.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_range", "_id", "_before")
 
 
 def getsharedsequencefactory(startvalue: int = 0, intervallen: int = 5000) -> SharedSequence:

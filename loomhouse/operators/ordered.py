@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from loomhouse.plans.store import staged
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .matching import own, same
+from .matching import own
 
 RANGE = "_range"
 
@@ -30,18 +31,20 @@ def with_previous(rows: DataFrame, order: Sequence[str], columns: Sequence[str],
     if not before:
         return inside.drop("_head")
     lasts = rows.groupBy(F.col(RANGE).alias("_last_range")).agg(F.max_by(row, F.struct(*[own(c) for c in order])).alias("_last_row"))
-    behind = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    met = inside.join(lasts, F.when(F.col("_head"), F.get(F.array(F.try_element_at(behind, F.col(RANGE))), F.lit(0))) == F.col("_last_range"), "left")
-    return met.withColumn(into, F.coalesce(own(into), own("_last_row"))).drop("_head", "_last_row", "_last_range")
+    behind = rows.sparkSession.createDataFrame(list(before.items()), "_this int, _last int")
+    lasts = lasts.join(behind, F.col("_last_range") == F.col("_last")).drop("_last_range", "_last")
+    met = inside.join(lasts, F.when(F.col("_head"), F.col(RANGE)) == F.col("_this"), "left")
+    return met.withColumn(into, F.coalesce(own(into), own("_last_row"))).drop("_head", "_last_row", "_this")
 
 
-def running(rows: DataFrame, keys: Sequence[str], order: str, value: str, into: str) -> DataFrame:
-    """The sum of `value` over a key's rows up to each one: within its range, after the sums of the ranges before."""
+def running(rows: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, into: str) -> DataFrame:
+    """The sum of `value` over a key's rows (all rows, without keys) up to each one: within its range, after the sums of the ranges before."""
     names = [own(k) for k in keys]
-    upto = Window.partitionBy(RANGE, *names).orderBy(own(order)).rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(RANGE, *names).orderBy(*[own(o) for o in ([order] if isinstance(order, str) else order)]).rowsBetween(Window.unboundedPreceding, 0)
     inside = rows.withColumn(into, F.sum(own(value)).over(upto).cast("bigint"))
     sums = rows.groupBy(F.col(RANGE).alias("_s_range"), *[n.alias(f"_s_{i}") for i, n in enumerate(names)]).agg(F.sum(own(value)).alias("_s_sum"))
-    earlier = Window.partitionBy(*[own(f"_s_{i}") for i in range(len(keys))]).orderBy("_s_range").rowsBetween(Window.unboundedPreceding, -1)
+    # one row for each range and key in it; without keys, one for each range
+    earlier = Window.partitionBy(*([own(f"_s_{i}") for i in range(len(keys))] or [F.lit(0)])).orderBy("_s_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.withColumn("_s_offset", F.coalesce(F.sum("_s_sum").over(earlier), F.lit(0))).where("_s_offset <> 0").drop("_s_sum")
-    met = inside.join(offsets, (F.col(RANGE) == F.col("_s_range")) & same([(n, own(f"_s_{i}")) for i, n in enumerate(names)]), "left")
+    met = inside.join(offsets, reduce(Column.__and__, [n.eqNullSafe(own(f"_s_{i}")) for i, n in enumerate(names)], F.col(RANGE) == F.col("_s_range")), "left")
     return met.withColumn(into, own(into) + F.coalesce(own("_s_offset"), F.lit(0)).cast("bigint")).drop("_s_range", "_s_offset", *[f"_s_{i}" for i in range(len(keys))])

@@ -7,8 +7,10 @@ from functools import reduce
 from typing import Any
 
 from loomhouse.functions.rows import renamefromto, renametofrom
-from pyspark.sql import Column, DataFrame, Window
+from loomhouse.operators.ordered import RANGE, ranged, running
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _named: dict[str, Step] = {}
 
@@ -91,8 +93,6 @@ class MappingStep(Step):
 class ValueMappingStep(Step):
     """outputatt = mapping[inputatt], or the default; a value that is mapped to None gives null."""
 
-    LARGE = 1000
-
     def __init__(self, outputatt: str, inputatt: str, mapping: Mapping[Any, Any] | DataFrame, requireinput: bool = True, defaultvalue: Any = None, next: Step | str | None = None, name: str | None = None):  # noqa: A002
         super().__init__(None, next, name)
         self.outputatt, self.inputatt, self.mapping, self.requireinput, self.defaultvalue = outputatt, inputatt, mapping, requireinput, defaultvalue
@@ -102,23 +102,15 @@ class ValueMappingStep(Step):
             if self.requireinput:
                 raise KeyError(self.inputatt)
             return df.withColumn(self.outputatt, F.lit(self.defaultvalue))
-        mapping = self.mapping
-        if not isinstance(mapping, DataFrame) and len(mapping) <= self.LARGE:
-            out = F.lit(self.defaultvalue)
-            if mapping:
-                key = _c(self.inputatt)
-                chain = None
-                for k, v in mapping.items():
-                    hit = key.isNull() if k is None else key == F.lit(k)
-                    chain = F.when(hit, F.lit(v)) if chain is None else chain.when(hit, F.lit(v))
-                out = chain.otherwise(F.lit(self.defaultvalue))
-            return df.withColumn(self.outputatt, out)
-        if not isinstance(mapping, DataFrame):  # a large one is a table: Spark joins it as its size allows
-            kind = df.schema[self.inputatt].dataType.simpleString()
-            sample = next(v for v in mapping.values() if v is not None)
-            value = df.sparkSession.createDataFrame([(sample,)]).schema[0].dataType.simpleString()
-            mapping = df.sparkSession.createDataFrame(list(mapping.items()), f"k {kind}, v {value}")
-        table = mapping.toDF("_k", "_v").withColumn("_hit", F.lit(True))
+        table = self.mapping
+        if not isinstance(table, DataFrame):  # a table like any other: Spark joins it as its size allows
+            if not table:
+                return df.withColumn(self.outputatt, F.lit(self.defaultvalue))
+            values = [v for v in (*table.values(), self.defaultvalue) if v is not None]
+            value = T.StructField("v", T.StringType()) if not values else df.sparkSession.createDataFrame([(v,) for v in values], ["v"]).schema["v"]
+            shape = T.StructType([T.StructField("k", df.schema[self.inputatt].dataType), T.StructField("v", value.dataType)])
+            table = df.sparkSession.createDataFrame(list(table.items()), shape)
+        table = table.toDF("_k", "_v").withColumn("_hit", F.lit(True))
         met = df.join(table, _c(self.inputatt).eqNullSafe(F.col("_k")), "left")
         return met.withColumn(self.outputatt, F.when(F.col("_hit"), F.col("_v")).otherwise(F.lit(self.defaultvalue))).drop("_k", "_v", "_hit")
 
@@ -202,7 +194,9 @@ class AggregatingStep(Step):
     """Aggregates of the rows since the last punctuation, on each row that is one.
 
     punctuation: the Column that marks the end of a group; order_by: arrival order; by: columns
-    within which order holds (a partition of the stream).  aggregates: {column: aggregate}.
+    within which order holds (a partition of the stream).  aggregates: {column: aggregate}; a group
+    without rows gets what the aggregate gives for no rows.  Rows are dealt to ranges of (by, order), so
+    no task sees all rows, or all of a hot key.
     """
 
     def __init__(self, aggregates: Mapping[str, Column], punctuation: Column, order_by: list[str], by: list[str] = (), next: Step | str | None = None, name: str | None = None):  # noqa: A002
@@ -210,25 +204,31 @@ class AggregatingStep(Step):
         self.aggregates, self.punctuation, self.order_by, self.by = dict(aggregates), punctuation, list(order_by), list(by)
 
     def defaultworker(self, df: DataFrame) -> DataFrame:
-        marked = df.withColumn("_end", F.coalesce(self.punctuation, F.lit(False)))
-        before = Window.partitionBy(*[_c(b) for b in self.by]).orderBy(*[_c(o) for o in self.order_by]).rowsBetween(Window.unboundedPreceding, -1)
-        group = marked.withColumn("_group", F.coalesce(F.sum(F.col("_end").cast("bigint")).over(before), F.lit(0).cast("bigint")))
+        order = [*self.by, *self.order_by]
+        marked = ranged(df.withColumn("_end", F.coalesce(self.punctuation, F.lit(False)).cast("bigint")), order)
+        counted = running(marked, self.by, self.order_by, "_end", "_group")
+        group = counted.withColumns({"_group": F.col("_group") - F.col("_end"), "_end": F.col("_end") == 1}).drop(RANGE)
         keys = [_c(b) for b in self.by]
         rows = group.where(~F.col("_end")).groupBy(*keys, "_group").agg(*[v.alias(n) for n, v in self.aggregates.items()])
         ends = group.where(F.col("_end")).drop(*self.aggregates, "_end")
-        right = rows.select(*[_c(b).alias(f"_b_{b}") for b in self.by], F.col("_group").alias("_g"), *[_c(n) for n in self.aggregates])
+        right = rows.select(*[_c(b).alias(f"_b_{b}") for b in self.by], F.col("_group").alias("_g"), *[_c(n) for n in self.aggregates], F.lit(True).alias("_met"))
         on = F.col("_group") == F.col("_g")
         for b in self.by:
             on = on & _c(b).eqNullSafe(F.col(f"`_b_{b}`"))
-        return ends.join(right, on, "left").drop("_group", "_g", *[f"_b_{b}" for b in self.by])
+        met = ends.join(right, on, "left")
+        none = df.where(F.lit(False)).agg(*[v.alias(n) for n, v in self.aggregates.items()]).first()
+        met = met.withColumns({n: F.when(F.col("_met"), _c(n)).otherwise(F.lit(none[n])) for n in self.aggregates if none[n] is not None})
+        return met.drop("_group", "_g", "_met", *[f"_b_{b}" for b in self.by])
 
 
 def sumaggregator(field: str) -> Column:
-    return F.sum(_c(field))
+    """The sum, 0 without values."""
+    return F.coalesce(F.sum(_c(field)), F.lit(0))
 
 
 def avgaggregator(field: str) -> Column:
-    return F.avg(_c(field))
+    """The average, 0 without values."""
+    return F.coalesce(F.avg(_c(field)), F.lit(0))
 
 
 def maxaggregator(field: str) -> Column:

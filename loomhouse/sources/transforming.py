@@ -61,32 +61,41 @@ def filteringsource(source: DataFrame, filter: Column | Callable[[DataFrame], Co
     return source.where(filter(source) if callable(filter) and not isinstance(filter, Column) else filter)
 
 
-def sqltransformingsource(source: DataFrame, temptablename: str, query: str, batchsize: int = 10_000, perbatch: bool = False, columnnames: Sequence[str] | None = None, order_by: Sequence[str] | None = None) -> DataFrame:
+#: Plans of single batches that are put together in one job.
+PLANS = 64
+
+
+def sqltransformingsource(source: DataFrame, temptablename: str, query: str, batchsize: int = 10_000, perbatch: bool = False, columnnames: Sequence[str] | None = None, order_by: Sequence[str] | None = None, batchcolumn: str | None = None) -> DataFrame:
     """The rows of a query over the source as a view.
 
     With `perbatch`, the source is cut into batches of `batchsize` rows in the order given, and
-    the query runs over each by itself.  A query that uses the name `batch` is run once over all
-    batches and must group or partition by it: one plan for any number of batches.  Any other
-    query is planned for each batch, and the results are put together.
+    the query runs over each by itself: it is planned for each batch, PLANS of them a job.  With
+    `batchcolumn`, the view has the batch's number in a column of that name, and the query runs once over all
+    batches: it must group or partition by that column, and is one plan for any number of batches.
     """
     spark = source.sparkSession
     view, batches = source, None
+    if batchcolumn is not None and not perbatch:
+        raise ValueError("a batch column needs perbatch")
     if perbatch:
         if batchsize < 1:
             raise ValueError("batchsize must be positive")
         rank = staged(numbered(source, order_by or source.columns, "_row"))
-        view = rank.withColumn("batch", F.floor((F.col("_row") - 1) / batchsize).cast("bigint")).drop("_row")
-        if not re.search(r"\bbatch\b", query, re.I):
-            batches = -(-rank.count() // batchsize)
+        number = "_batch" if batchcolumn is None else batchcolumn
+        view = rank.withColumn(number, F.floor((F.col("_row") - 1) / batchsize).cast("bigint")).drop("_row")
+        if batchcolumn is None:
+            batches = max(1, -(-rank.count() // batchsize))
     try:
         if batches is None:
             view.createOrReplaceTempView(temptablename)
             out = spark.sql(query)
         else:
             parts = []
-            for k in range(max(batches, 1)):
-                view.where(F.col("batch") == k).drop("batch").createOrReplaceTempView(temptablename)
+            for k in range(batches):
+                view.where(F.col("_batch") == k).drop("_batch").createOrReplaceTempView(temptablename)
                 parts.append(spark.sql(query))
+                if len(parts) == PLANS and k + 1 < batches:
+                    parts = [staged(reduce(DataFrame.unionAll, parts), "batches")]
             out = reduce(DataFrame.unionAll, parts)
     finally:
         spark.catalog.dropTempView(temptablename)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from loomhouse.plans.store import Warehouse
+from loomhouse.plans.store import Warehouse, made, unstage
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -14,18 +14,28 @@ from pyspark.sql.streaming import StreamingQuery
 def stream_load(stream: DataFrame, load: Callable[[DataFrame], Any], warehouse: Warehouse | None, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """Run `load` (ensure, scdensure, insert, a step's process) on each micro-batch and commit after it.
 
-    Operators keep their state between batches in the warehouse, so keys and versions go on;
-    a batch that comes again after a failure meets its members and facts by `ensure`.
+    Operators keep their state between batches in the warehouse, so keys and versions go on.  The
+    commit records the batch's number under the checkpoint's name: a batch that comes again after a
+    failure is skipped if its commit was published, and run anew if not.  What a batch staged is deleted after its commit.
     """
 
     def one(batch: DataFrame, number: int) -> None:
+        if warehouse is None:
+            load(batch)
+            return
+        if warehouse.loaded(checkpoint) >= number:
+            return
+        before = len(made)
         kept = batch.persist()
         try:
             load(kept)
-            if warehouse is not None:
-                warehouse.commit()
+            warehouse.commit({checkpoint: number})
+        except BaseException:
+            warehouse.rollback()
+            raise
         finally:
             kept.unpersist()
+        unstage(batch.sparkSession, before)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 

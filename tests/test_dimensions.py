@@ -256,4 +256,11 @@ def test_numbers(spark):
     got = [r["k"] for r in numbered(frame, ["h"], "k", 10).orderBy("h").collect()]
     assert got == list(range(11, 1011))
     some = getsharedsequencefactory(5)
-    assert some.interval() == range(5, 5005) and some(frame, "u").select("u").distinct().count() == 1000
+    assert some.interval() == range(5, 5005) and some.interval() == range(5005, 10005)
+    for first in (10005, 15005):
+        told = some(frame, "u")
+        assert sorted(r["u"] for r in told.collect()) == list(range(first, first + 1000))
+        assert told.orderBy("id").collect() == told.orderBy("id").collect()
+    for _ in range(2000):  # intervals go on as long as there are numbers
+        some.interval()
+    assert some.next == 20005 + 2000 * 5000

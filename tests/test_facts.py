@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from loomhouse.operators.facts import AccumulatingSnapshotFactTable, BatchFactTable, BulkFactTable, DecoupledFactTable, FactTable, SubprocessFactTable
 from loomhouse.operators.partitioning import BasePartitioner, DimensionPartitioner, FactTablePartitioner
@@ -63,6 +65,29 @@ def test_snapshot(spark):
         facts.update(spark.createDataFrame([(1, 99, 3, 7)], "n int, id1 int, id2 int, ref3 int"))
 
 
+def test_a_new_fact_is_not_expanded(spark):
+    """Both references on the row that inserts the fact: nothing has changed yet; a later row expands."""
+    facts = snapshot(spark, factexpander=LAG)
+    facts.ensure(spark.createDataFrame([(1, 8, 8, 1, 4), (2, 9, 9, 1, 4), (3, 9, 9, None, 6), (4, 7, 7, 2, None), (5, 7, 7, None, None)], "n int, id1 int, id2 int, ref1 int, ref2 int"))
+    assert [r[-1] for r in rows(facts.table) if r[0] > 6] == [None, None, 5]
+
+
+def test_snapshot_without_expander_against_a_loop(spark):
+    r = random.Random(6)
+    for refs, measures in ((True, True), (False, True), (True, False)):
+        facts = snapshot(spark, ignorenonerefs=refs, ignorenonemeasures=measures)
+        state = {s[:2]: list(s[2:]) for s in SNAP}
+        some = [(n, r.choice([1, 1, 1, 5]), r.choice([1, 2]), r.choice([None, n]), r.choice([None, float(n)])) for n in range(60)]
+        for _, a, b, ref, meas in some:
+            fact = state.setdefault((a, b), [None] * 5)
+            if ref is not None or not refs:
+                fact[0] = ref
+            if meas is not None or not measures:
+                fact[3] = meas
+        facts.ensure(spark.createDataFrame(some, "n int, id1 int, id2 int, ref1 int, meas double").repartition(3))
+        assert rows(facts.table) == sorted([(*k, *v) for k, v in state.items()], key=repr)
+
+
 def test_snapshot_with_nulls_that_count(spark):
     facts = snapshot(spark, ignorenonerefs=False)
     facts.ensure(spark.createDataFrame([(1, 1, 1, None, None)], "n int, id1 int, id2 int, ref1 int, meas double"))

@@ -134,10 +134,15 @@ def test_transforming(spark, book):
     assert rows(X.mappingsource(book, {"genre": F.upper}))[0][2] == "UNKNOWN"
     seen = X.transformingsource(book, X.rowtransformation(lambda r: {"n": r["id"] * 2}, "n bigint"))
     assert sorted(rows(seen)) == [(2,), (4,), (6,), (8,), (10,)]
-    batches = X.sqltransformingsource(book, "b", "select batch, genre, count(*) from b group by 1, 2", batchsize=1, perbatch=True, columnnames=["batch", "genre", "n"], order_by=["id"])
+    batches = X.sqltransformingsource(book, "b", "select batch, genre, count(*) from b group by 1, 2", batchsize=1, perbatch=True, columnnames=["batch", "genre", "n"], order_by=["id"], batchcolumn="batch")
     assert sorted(r["genre"] for r in batches.collect()) == ["Comic", "Comic", "Cookbook", "Novel", "Unknown"]
     each = X.sqltransformingsource(book, "b", "select genre, count(*) n from b group by 1", batchsize=1, perbatch=True, order_by=["id"])
     assert each.columns == ["genre", "n"] and sorted(r["genre"] for r in each.collect()) == ["Comic", "Comic", "Cookbook", "Novel", "Unknown"]
+    for k in (1, 2, 5):  # the word in the text of a query means nothing
+        told = X.sqltransformingsource(book, "b", "select 'batch' as label, count(*) n from b", batchsize=k, perbatch=True, order_by=["id"])
+        assert sorted((r["label"], r["n"]) for r in told.collect()) == sorted([("batch", k)] * (5 // k) + [("batch", 5 % k)] * (5 % k > 0))
+    with pytest.raises(ValueError):
+        X.sqltransformingsource(book, "b", "select 1", batchcolumn="batch")
     whole = X.sqltransformingsource(book, "b", "select genre, count(*) n from b group by 1")
     assert sorted(r["genre"] for r in whole.collect()) == ["Comic", "Cookbook", "Novel", "Unknown"]
 
