@@ -221,11 +221,11 @@ class CachedDimension(Dimension):
 class BulkDimension(Dimension):
     """A Dimension whose new members also go to a loader: bulkloader(name, attributes, fieldsep, rowsep, nullsubst, path) at endload."""
 
-    def __init__(self, *args: Any, bulkloader: Callable | None = None, fieldsep: str = "\t", rowsep: str = "\n", nullsubst: str | None = None, tempdest: str | None = None, bulksize: int = 500_000, **named: Any):
+    def __init__(self, *args: Any, bulkloader: Callable | None = None, fieldsep: str = "\t", rowsep: str = "\n", nullsubst: str | None = None, tempdest: str | None = None, bulksize: int = 500_000, strconverter: Callable[[Column], Column] | None = None, **named: Any):
         super().__init__(*args, **named)
         from .facts import BulkFile
 
-        self.bulk = BulkFile(self.name, self.all, bulkloader, fieldsep, rowsep, nullsubst, tempdest) if bulkloader else None
+        self.bulk = BulkFile(self.name, self.all, bulkloader, fieldsep, rowsep, nullsubst, tempdest, strconverter) if bulkloader else None
 
     def _with_keys(self, new: DataFrame, order: Sequence[str | Column]) -> DataFrame:
         kept = super()._with_keys(new, order)

@@ -161,16 +161,16 @@ class AccumulatingSnapshotFactTable(FactTable):
 class BulkFile:
     """Rows as text files for a DBMS's loader: one folder for each load, no escaping, as loaders expect."""
 
-    def __init__(self, name: str, atts: Sequence[str], bulkloader: Callable, fieldsep: str = "\t", rowsep: str = "\n", nullsubst: str | None = None, tempdest: str | None = None):
+    def __init__(self, name: str, atts: Sequence[str], bulkloader: Callable, fieldsep: str = "\t", rowsep: str = "\n", nullsubst: str | None = None, tempdest: str | None = None, strconverter: Callable[[Column], Column] | None = None):
         self.name, self.atts, self.bulkloader = name, list(atts), bulkloader
-        self.fieldsep, self.rowsep, self.nullsubst, self.tempdest = fieldsep, rowsep, nullsubst, tempdest
+        self.fieldsep, self.rowsep, self.nullsubst, self.tempdest, self.strconverter = fieldsep, rowsep, nullsubst, tempdest, strconverter
         self.parts: list[DataFrame] = []
 
     def add(self, df: DataFrame) -> None:
         self.parts.append(df)
 
     def lines(self, df: DataFrame) -> DataFrame:
-        return df.select(*[_text(df, a, self.nullsubst).alias(a) for a in self.atts]).select(F.concat_ws(self.fieldsep, *[own(a) for a in self.atts]).alias("value"))
+        return df.select(*[_text(df, a, self.nullsubst, self.strconverter).alias(a) for a in self.atts]).select(F.concat_ws(self.fieldsep, *[own(a) for a in self.atts]).alias("value"))
 
     def load(self) -> list[str]:
         """Write what was added and call the loader for each folder of files."""
@@ -190,7 +190,9 @@ class BulkFile:
         return paths
 
 
-def _text(df: DataFrame, att: str, nullsubst: str | None) -> Column:
+def _text(df: DataFrame, att: str, nullsubst: str | None, strconverter: Callable[[Column], Column] | None = None) -> Column:
+    if strconverter is not None:  # its nulls are substituted too
+        return F.coalesce(strconverter(own(att)), F.lit("" if nullsubst is None else nullsubst))
     boolean = isinstance(df.schema[att].dataType, T.BooleanType)
     return getdbfriendlystr(own(att), "" if nullsubst is None else nullsubst, boolean)
 
@@ -198,9 +200,9 @@ def _text(df: DataFrame, att: str, nullsubst: str | None) -> Column:
 class BulkFactTable(FactTable):
     """A FactTable whose rows also go to a bulk loader at endload."""
 
-    def __init__(self, name: str, keyrefs: Sequence[str], measures: Sequence[str] = (), bulkloader: Callable | None = None, fieldsep: str = "\t", rowsep: str = "\n", nullsubst: str | None = None, tempdest: str | None = None, bulksize: int = 500_000, **named: Any):
+    def __init__(self, name: str, keyrefs: Sequence[str], measures: Sequence[str] = (), bulkloader: Callable | None = None, fieldsep: str = "\t", rowsep: str = "\n", nullsubst: str | None = None, tempdest: str | None = None, bulksize: int = 500_000, strconverter: Callable[[Column], Column] | None = None, **named: Any):
         super().__init__(name, keyrefs, measures, **named)
-        self.bulk = BulkFile(name, self.all, bulkloader, fieldsep, rowsep, nullsubst, tempdest) if bulkloader else None
+        self.bulk = BulkFile(name, self.all, bulkloader, fieldsep, rowsep, nullsubst, tempdest, strconverter) if bulkloader else None
 
     def insert(self, df: DataFrame, namemapping: Mapped = None) -> DataFrame:
         new = super().insert(df, namemapping)
@@ -216,14 +218,14 @@ class BulkFactTable(FactTable):
 class SubprocessFactTable:
     """Rows as lines of text to a shell command, one process for each task (one in all with parallel=False)."""
 
-    def __init__(self, keyrefs: Sequence[str], measures: Sequence[str], executable: str, initcommand: str | None = None, endcommand: str | None = None, fieldsep: str = "\t", rowsep: str = "\n", nullsubst: str = "", parallel: bool = True):
-        self.all = [*keyrefs, *measures]
+    def __init__(self, keyrefs: Sequence[str], measures: Sequence[str], executable: str, initcommand: str | None = None, endcommand: str | None = None, fieldsep: str = "\t", rowsep: str = "\n", nullsubst: str = "", parallel: bool = True, strconverter: Callable[[Column], Column] | None = None):
+        self.all, self.strconverter = [*keyrefs, *measures], strconverter
         self.executable, self.initcommand, self.endcommand = executable, initcommand, endcommand
         self.fieldsep, self.rowsep, self.nullsubst, self.parallel = fieldsep, rowsep, nullsubst, parallel
 
     def insert(self, df: DataFrame, namemapping: Mapped = None) -> None:
         chosen = df.select(*[own(mapped(a, namemapping)).alias(a) for a in self.all])
-        lines = chosen.select(F.concat_ws(self.fieldsep, *[_text(chosen, a, self.nullsubst) for a in self.all]).alias("value"))
+        lines = chosen.select(F.concat_ws(self.fieldsep, *[_text(chosen, a, self.nullsubst, self.strconverter) for a in self.all]).alias("value"))
         command, before, after, sep = self.executable, self.initcommand, self.endcommand, self.rowsep
 
         def pipe(rows) -> None:
