@@ -3,7 +3,9 @@
 Vectors become integers, floor(scale * x).  Candidates are packed, task by task, into blocks
 that hold one posting list for each dimension (the rows where it is not zero, and its
 weights); queries are packed into blocks of sparse rows.  Every block of candidates meets
-every block of queries once.  Then, dimension after dimension, each query row scatters its
+every block of queries once, on a grid: blocks of queries are dealt to its rows and copied to all its columns,
+blocks of candidates are dealt to its columns and copied to all its rows, so candidates travel once for every
+QUERY_BLOCKS x QUERIES queries.  Then, dimension after dimension, each query row scatters its
 weight times the posting list into a dense array of scores; partition selection takes the k
 best, with ties decided by the smaller id, and the block's lists are merged into the
 running ones.  The last merge is a window over at most k rows for each query and task.
@@ -30,6 +32,8 @@ from .common import written
 
 #: Rows of a block of candidates and of a block of queries: a pair is what a task holds (2 MB and 0.2 MB for 64 dimensions).
 CANDIDATES, QUERIES = 4096, 512
+#: The grid on which blocks meet: a cell has about so many blocks of each side at most, and a table of few blocks as many columns as blocks.
+QUERY_BLOCKS, CANDIDATE_BLOCKS, CELLS = 64, 64, 1024
 _HEAD = "n int, dims int, ids binary, weights binary"
 
 
@@ -139,13 +143,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     asked = integers(vectors.where(is_query), id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v"))
     blocks, _ = written(_packed(rows, candidates_a_block), "candidates")
     queries, _ = written(_packed(asked, queries_a_block), "queries")
-    names = queries.select(F.xxhash64("ids").alias("q")).distinct()
-    keys = [r["q"] for r in names.toLocalIterator()]  # one long for each block of queries
-    if not keys:
+    asked_blocks, own_blocks = queries.count(), blocks.count()
+    if not asked_blocks:
         return spark.createDataFrame([], "query_id bigint, rank int, id bigint, score bigint")
-    # every block of candidates once for each block of queries: they meet by an equi-join, not a product
-    asked = queries.select(F.xxhash64("ids").alias("q"), F.struct("n", "dims", "ids", "weights").alias("a"))
-    spread = blocks.withColumn("q", F.explode(F.lit(keys))).select("q", F.struct("n", "dims", "ids", "weights").alias("b"))
+    # a grid: blocks of queries are dealt to rows and go to all columns, blocks of candidates to columns and to all rows
+    down = -(-asked_blocks // QUERY_BLOCKS)
+    across = max(min(own_blocks, CELLS), -(-own_blocks // CANDIDATE_BLOCKS))
+    dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    block = F.struct("n", "dims", "ids", "weights")
+    asked = queries.select(dealt(down).alias("r"), every(across).alias("c"), block.alias("a"))
+    spread = blocks.select(every(down).alias("r"), dealt(across).alias("c"), block.alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,6 +165,6 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
                 told = select(accumulate(q, c), np.frombuffer(ids.as_buffer(), np.int64), np.frombuffer(own.as_buffer(), np.int64), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["query_id", "id", "score"])
 
-    met = asked.join(spread, "q").select("a", "b").mapInArrow(run, "query_id bigint, id bigint, score bigint")
+    met = asked.join(spread, ["r", "c"]).select("a", "b").mapInArrow(run, "query_id bigint, id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -23,8 +23,10 @@ def brute(rows, is_query, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("candidates", "queries"), [(4096, 512), (7, 3), (1, 1)])
-def test_against_brute_force(spark, candidates, queries):
+@pytest.mark.parametrize(("candidates", "queries", "grid"), [(4096, 512, None), (7, 3, None), (1, 1, None), (3, 1, (2, 3, 2))])
+def test_against_brute_force(spark, candidates, queries, grid, monkeypatch):
+    for name, value in zip(("QUERY_BLOCKS", "CANDIDATE_BLOCKS", "CELLS"), grid or ()):  # a grid of several rows and columns
+        monkeypatch.setattr(topk, name, value)
     r = random.Random(7)
     rows = [(i, [r.choice([0.0, 0.0, r.uniform(-1, 1), 0.5]) for _ in range(8)]) for i in range(60)]
     rows += [(100, [0.5] * 8), (101, [0.5] * 8), (102, [0.5] * 8), (40, [9.0] * 8), (40, [0.1] * 8)]  # ties, a repeated id
@@ -41,6 +43,13 @@ def test_fewer_than_k_large_values_and_lengths(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i == 0, 20)
 
 
+def test_extra_and_clashing_columns_and_nulls(spark):
+    rows = [(0, [1.0, 2.0], "x", None), (20, [3.0, 1.0], None, 4), (None, None, None, None), (7, [1.0, 1.0], "y", 5)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, ids string, score int").withColumns({"r": F.lit(1), "c": F.lit(2), "id": F.lit(3), "weights": F.lit(4)})
+    got = topk.search(frame, F.col("vec_id") % 20 == 0)
+    assert sorted(map(tuple, got.collect())) == brute([r[:2] for r in rows], lambda i: i % 20 == 0, 20)
+
+
 def test_empty_and_no_query(spark):
     frame = spark.createDataFrame([(1, [1.0])], "vec_id bigint, embedding array<float>")
     assert topk.search(frame.limit(0), F.col("vec_id") == 1).collect() == []
