@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import annotate, fresh, release, struct, written
+from .common import annotate, fresh, made, release, remove, struct, written
 from .components import components
 from .words import LOWER, NOT_SPACE, mix, spans
 
@@ -95,11 +95,11 @@ def fingerprints(docs: DataFrame, text_col: str = "text", name: str = "fingerpri
 
         return work
 
-    return annotate(docs, text_col, "struct<bits:bigint>", name, make)
+    return annotate(docs, text_col, "struct<bits:bigint>", fresh(docs, name), make)
 
 
-def _emit(values: np.ndarray, share: int, rounds: int, bins: int, most: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
-    """(bin, points) of one round; points as 64-bit points, then 16-bit numbers of their flips."""
+def _emit(values: np.ndarray, share: int, rounds: int, bins: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """(bins, the points of each) of one round, slice by slice; points as 64-bit points, then 16-bit numbers of their flips."""
     odd = (np.bitwise_count(values) & 1).astype(bool)
     for flips, some in ((np.arange(1, 65), values[~odd]), (np.arange(len(FLIPS)), values[odd])):
         step = max(1, most // len(flips))
@@ -111,11 +111,11 @@ def _emit(values: np.ndarray, share: int, rounds: int, bins: int, most: int = 1
             point, code = point[mine], code[mine]
             to = ((dealt[mine] >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
             order = np.argsort(to.astype(np.uint32), kind="stable")
-            point, code = point[order], code[order]
-            cut = np.searchsorted(to[order], np.arange(bins + 1, dtype=np.uint64))
-            for b in range(bins):
-                if cut[b] < cut[b + 1]:
-                    yield b, point[cut[b] : cut[b + 1]].tobytes() + code[cut[b] : cut[b + 1]].tobytes()
+            point, code, to = point[order], code[order], to[order]
+            cut = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])) if len(to) else np.zeros(0, np.int64)
+            ends = np.append(cut[1:], len(to))
+            if len(cut):  # one row for each bin that has points of the slice
+                yield to[cut].astype(np.int32), [point[x:y].tobytes() + code[x:y].tobytes() for x, y in zip(cut.tolist(), ends.tolist())]
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,14 +172,15 @@ def links(distinct: DataFrame, column: str = "bits", rounds: int = ROUNDS, point
     """
     spark = distinct.sparkSession
     bins = max(1, -(-distinct.count() * 1073 // (rounds * points_a_bin)))
+    most = min(1 << 22, max(1 << 20, bins << 10))  # points of a slice: with more bins larger ones, so that a bin's share of one stays worth a row
     tables = []
     for share in range(rounds):
 
         def emit(batches: Iterator[pa.RecordBatch], share: int = share) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-                for b, blob in _emit(values, share, rounds, bins):
-                    yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([blob], pa.binary())], names=["bin", "points"])
+                for to, blobs in _emit(values, share, rounds, bins, most):
+                    yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(blobs, pa.binary())], names=["bin", "points"])
 
         def meet(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points, codes = [], []
@@ -208,12 +209,16 @@ def _components(prints: DataFrame, docs: DataFrame | None = None) -> DataFrame:
 
     With docs (th, text), pairs of alike shingle sets are links too; prints has th and the sets' columns then.
     """
+    before = len(made)
     first, _ = written(prints.groupBy("bits").agg(F.min("id").alias("low")), "first")
     tree = components(links(first)) if docs is None else jaccard.groups(docs, prints, links(first))
     rooted = first.join(tree.withColumnRenamed("node", "bits"), "bits", "left").select("bits", "low", F.coalesce("root", "bits").alias("root"))
     rooted, _ = written(rooted, "rooted")
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    return written(rooted.join(lowest, "root").select("bits", "root", "component"), "named")[0]
+    named, path = written(rooted.join(lowest, "root").select("bits", "root", "component"), "named")
+    for gone in [p for p in made[before:] if p != path]:  # links and trees are not read again
+        remove(prints.sparkSession, gone)
+    return named
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
