@@ -14,9 +14,18 @@ from .matching import own
 RANGE = "_range"
 
 
-def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
+def _falling(names: Sequence[str], descending: bool | Sequence[str]) -> set[str]:
+    return set(names) if descending is True else set(descending or ())
+
+
+def _sorted(names: Sequence[str], descending: bool | Sequence[str] = ()) -> list[Column]:
+    falls = _falling(names, descending)
+    return [own(c).desc() if c in falls else own(c).asc() for c in names]
+
+
+def ranged(df: DataFrame, order: Sequence[str], descending: Sequence[str] = ()) -> DataFrame:
     """df dealt to ranges of the order and written with their number; a hot key spreads over several ranges."""
-    return staged(df.repartitionByRange(*[own(c) for c in order]).withColumn(RANGE, F.spark_partition_id()), "ranged")
+    return staged(df.repartitionByRange(*_sorted(order, descending)).withColumn(RANGE, F.spark_partition_id()), "ranged")
 
 
 def with_previous(rows: DataFrame, order: Sequence[str], columns: Sequence[str], into: str, numbers: Sequence[int]) -> DataFrame:
@@ -37,14 +46,26 @@ def with_previous(rows: DataFrame, order: Sequence[str], columns: Sequence[str],
     return met.withColumn(into, F.coalesce(own(into), own("_last_row"))).drop("_head", "_last_row", "_this")
 
 
-def running(rows: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, into: str) -> DataFrame:
-    """The sum of `value` over a key's rows (all rows, without keys) up to each one: within its range, after the sums of the ranges before."""
-    names = [own(k) for k in keys]
-    upto = Window.partitionBy(RANGE, *names).orderBy(*[own(o) for o in ([order] if isinstance(order, str) else order)]).rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumn(into, F.sum(own(value)).over(upto).cast("bigint"))
-    sums = rows.groupBy(F.col(RANGE).alias("_s_range"), *[n.alias(f"_s_{i}") for i, n in enumerate(names)]).agg(F.sum(own(value)).alias("_s_sum"))
-    # one row for each range and key in it; without keys, one for each range
-    earlier = Window.partitionBy(*([own(f"_s_{i}") for i in range(len(keys))] or [F.lit(0)])).orderBy("_s_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.withColumn("_s_offset", F.coalesce(F.sum("_s_sum").over(earlier), F.lit(0))).where("_s_offset <> 0").drop("_s_sum")
+def running(rows: DataFrame, keys: Sequence[str], order: str | Sequence[str], value: str, into: str, how: str = "sum", descending: bool | Sequence[str] = ()) -> DataFrame:
+    """The sum (or the greatest, the least, or the last that is not null) of `value` over a key's rows (all rows, without keys)
+
+    up to each one, with it: that of its range, after that of the ranges before.
+    """
+    names, within = [own(k) for k in keys], [order] if isinstance(order, str) else list(order)
+    line = _sorted(within, descending)
+    upto = Window.partitionBy(RANGE, *names).orderBy(*line).rowsBetween(Window.unboundedPreceding, 0)
+    over = {"sum": F.sum, "max": F.max, "min": F.min, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    inside = rows.withColumn("_own_sum", over(own(value)).over(upto))
+    # one row for each range and key in it (without keys, one for each range); nulls among the last ones are passed over
+    groups = [F.col(RANGE).alias("_s_range"), *[n.alias(f"_s_{i}") for i, n in enumerate(names)]]
+    if how == "last":
+        fall = [F.when(own(value).isNotNull(), F.lit(1)).otherwise(0).desc(), *_sorted(within, [c for c in within if c not in _falling(within, descending)])]
+        nth = Window.partitionBy(RANGE, *names).orderBy(*fall)
+        sums = rows.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").select(*groups, own(value).alias("_s_sum"))
+    else:
+        sums = rows.groupBy(*groups).agg(over(own(value)).alias("_s_sum"))
+    earlier = Window.partitionBy(*([own(f"_s_{i}") for i in range(len(keys))] or [F.lit(0)])).orderBy("_s_range")
+    offsets = sums.withColumn("_s_offset", over(F.col("_s_sum")).over(earlier.rowsBetween(Window.unboundedPreceding, -1))).where("_s_offset is not null").drop("_s_sum")
     met = inside.join(offsets, reduce(Column.__and__, [n.eqNullSafe(own(f"_s_{i}")) for i, n in enumerate(names)], F.col(RANGE) == F.col("_s_range")), "left")
-    return met.withColumn(into, own(into) + F.coalesce(own("_s_offset"), F.lit(0)).cast("bigint")).drop("_s_range", "_s_offset", *[f"_s_{i}" for i in range(len(keys))])
+    joined = {"sum": F.coalesce("_own_sum", F.lit(0)) + F.coalesce("_s_offset", F.lit(0)), "max": F.greatest("_own_sum", "_s_offset"), "min": F.least("_own_sum", "_s_offset"), "last": F.coalesce("_own_sum", "_s_offset")}[how]
+    return met.withColumn(into, joined.cast("bigint") if how == "sum" else joined).drop("_own_sum", "_s_range", "_s_offset", *[f"_s_{i}" for i in range(len(keys))])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 from typing import Any
 
 from loomhouse.functions.scalars import datereader, today, ymdparser
@@ -102,7 +103,9 @@ class SlowlyChangingDimension(Dimension):
 
         # the batch, with what every row says about validity
         rows = df.withColumns({"_from": self.fromfinder(names), "_to": self.tofinder(names), "_src": self.srcdateparser(own(mapped(self.srcdateatt, names))) if self.srcdateatt else F.lit(None)})
-        rows = numbered(rows, [own(c) for c in arrival], "_seq")
+        # where a row stands: its arrival, ties by a number; the newest known version stands before all rows
+        rows = staged(rows.withColumn("_seq", F.struct(F.lit(1).alias("n"), *[own(c).alias(f"a{i}") for i, c in enumerate(arrival)], F.monotonically_increasing_id().alias("id"))), "batch")
+        place = rows.schema["_seq"].dataType
         kind = schema[self.fromatt].dataType if self.fromatt else rows.schema["_from"].dataType
         to_kind = schema[self.toatt].dataType if self.toatt else rows.schema["_to"].dataType
         maxto = F.lit(self.maxto).cast(to_kind)
@@ -119,7 +122,7 @@ class SlowlyChangingDimension(Dimension):
         newest = self.table.join(prefixed(self._current(), "_c_"), own(self.key) == own(f"_c_{self.key}"), "left_semi")
         touched = newest.join(prefixed(batch.select(*self.lookupatts).distinct(), "_b_"), same([(own(a), own(f"_b_{a}")) for a in self.lookupatts], self.null_safe), "left_semi")
         before = touched.select(
-            F.lit(-1).cast("bigint").alias("_seq"),
+            F.struct(F.lit(0).alias("n"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in place.fields[1:-1]], F.lit(0).cast("bigint").alias("id")).alias("_seq"),
             *[own(a) for a in self.attributes],
             F.lit(None).cast(kind).alias("_from"),
             F.lit(None).cast(to_kind).alias("_to"),
@@ -148,8 +151,7 @@ class SlowlyChangingDimension(Dimension):
             "_own": F.when(own("_key").isNotNull(), own(self.toatt) if self.toatt else F.lit(None)).when(first, new_to).otherwise(maxto).cast(to_kind),
             "_first": first & own("_key").isNull(),
         })
-        both = staged(both.drop("_p"), "versions")
-        both = with_previous(both, order, [*self.lookupatts, *self.type2atts, "_eff", "_own"], "_p", numbers)
+        both = with_previous(both.drop("_p"), order, [*self.lookupatts, *self.type2atts, "_eff", "_own"], "_p", numbers)
         lag = lambda c: F.col("_p")[c]
         changed = F.lit(False)
         for a in self.type2atts:
@@ -213,7 +215,7 @@ class SlowlyChangingDimension(Dimension):
         self.table = table
         # back to the rows
         told = [a for a in (self.versionatt, self.fromatt, self.toatt) if a]
-        found = both.where(own("_seq") >= 0).select(own("_seq"), *[own(a).alias(f"_g_{a}") for a in self.lookupatts], own("_grp").alias("_g_grp"))
+        found = both.where(F.col("_seq.n") == 1).select(own("_seq"), *[own(a).alias(f"_g_{a}") for a in self.lookupatts], own("_grp").alias("_g_grp"))
         led = changed_rows.select(*[own(a).alias(f"_v_{a}") for a in self.lookupatts], own("_grp").alias("_v_grp"), own("_key").alias("_v_key"), *[own(a).alias(f"_v__{a}") for a in told])
         link = found.join(led, same([(own(f"_g_{a}"), own(f"_v_{a}")) for a in self.lookupatts], True) & (own("_g_grp") == own("_v_grp"))).select(own("_seq").alias("_l_seq"), own("_v_key").cast(schema[self.key].dataType).alias("_l_key"), *[own(f"_v__{a}") for a in told])
         result = rows.join(link, own("_seq") == own("_l_seq"))
@@ -238,7 +240,14 @@ class SlowlyChangingDimension(Dimension):
         return self.table
 
     def _asof(self, df: DataFrame, when: str | Column, inclusive: bool | tuple[bool, bool], namemapping: Mapped) -> DataFrame:
-        """df with `_v`, the version valid at `when`, or null: each member's versions meet the rows as one sorted array."""
+        """df with `_v`, the version valid at `when`, or null.
+
+        By to-dates, the version is the member's first one, in order, that ends after `when`; the first that does also has
+        the first running maximum of to-dates after it, so versions below an earlier maximum never count.  By
+        from-dates alone it is the newest one that has begun, and running minima from the newest on tell it alike.
+        What is left rises with time: rows and versions stand in one order of member and time, dealt to ranges, and
+        each row takes the version next to it.  No task sees all rows or versions of a member.
+        """
         if not self.fromatt and not self.toatt:
             raise RuntimeError("neither fromatt nor toatt is known")
         by_to = bool(self.toatt)
@@ -250,26 +259,45 @@ class SlowlyChangingDimension(Dimension):
             from_in = to_in = bool(inclusive)
         if self.fromatt and self.toatt and not from_in and not to_in:
             raise ValueError("one end must be inclusive")
+        kind = self.table.schema[self.toatt or self.fromatt].dataType
+        end = own(self.toatt if by_to else self.fromatt)
+        # an end that is not set lies beyond all others, or before all; a moment that is null meets such ends alone
+        time = lambda value, null, other: F.struct(F.when(value.isNull(), null).otherwise(other).alias("o"), value.alias("t"))
+        beyond, plain = (2, 0) if by_to else (0, 2)
+        atts = [f"_m{i}" for i in range(len(self.lookupatts))]
         at = own(self.orderingatt)
-        low = at.isNull() if by_to else at.isNotNull()  # nulls last when ascending by to, and when descending by from
-        version = F.struct(low.alias("n"), at.alias("a"), own(self.key).alias("k"), *[own(c) for c in self.all if c != self.key])
-        own_versions = F.array_sort(F.collect_list(version))
-        if not by_to:
-            own_versions = F.reverse(own_versions)
-        members = self.table.groupBy(*[own(a).alias(f"_m_{a}") for a in self.lookupatts]).agg(own_versions.alias("_versions"))
+        null = at.isNull() if by_to else at.isNotNull()  # nulls last when ascending by to, and when descending by from
+        newest = F.struct(null.alias("n"), at.alias("a"), own(self.key).alias("k"))
+        versions = self.table.select(
+            *[own(a).alias(m) for a, m in zip(self.lookupatts, atts)],
+            newest.alias("_at"),
+            time(end, beyond, plain).alias("_time"),
+            F.struct(own(self.key).alias("k"), *[own(c) for c in self.all if c != self.key]).alias("_v"),
+        )
+        steps = ranged(versions, [*atts, "_at"], descending=[] if by_to else ["_at"])
+        steps = running(steps, atts, ["_at"], "_time", "_top", how="max" if by_to else "min", descending=not by_to)
+        # of versions of one running maximum the first counts
+        records = steps.where(F.col("_time").eqNullSafe(F.col("_top"))).groupBy(*atts, "_time").agg(F.min_by("_v", "_at").alias("_v") if by_to else F.max_by("_v", "_at").alias("_v"))
         moment = own(when) if isinstance(when, str) else when
-        rows = df.withColumn("_when", moment.cast(self.table.schema[self.toatt or self.fromatt].dataType))
-        met = rows.join(members, self._on(rows, namemapping, "_m_"), "left").drop(*[f"_m_{a}" for a in self.lookupatts])
-        if by_to:
-            fits = lambda v: v[self.toatt].isNull() | ((v[self.toatt] >= own("_when")) if to_in else (v[self.toatt] > own("_when")))
-        else:
-            fits = lambda v: v[self.fromatt].isNull() | ((v[self.fromatt] <= own("_when")) if from_in else (v[self.fromatt] < own("_when")))
-        met = met.withColumn("_v", F.get(F.filter("_versions", fits), 0))
+        inside = to_in if by_to else from_in
+        asked = df.select(
+            *[own(mapped(a, namemapping)).alias(m) for a, m in zip(self.lookupatts, atts)],
+            time(moment.cast(kind), 1, plain).alias("_time"),
+            F.struct(*[own(c) for c in df.columns], moment.cast(kind).alias("_when")).alias("_row"),
+        )
+        # by to-dates in falling order of time, else in rising order, the version of a row is the last one before it: at the same time, if that end is inclusive
+        both = asked.select(*atts, "_time", F.lit(1 if inside else 0).alias("_late"), "_row", F.lit(None).cast(records.schema["_v"].dataType).alias("_v"))
+        both = both.unionByName(records.select(*atts, "_time", F.lit(0 if inside else 1).alias("_late"), F.lit(None).cast(asked.schema["_row"].dataType).alias("_row"), "_v"))
+        falls = ["_time"] if by_to else []
+        both = ranged(both, [*atts, "_time", "_late"], descending=falls)
+        met = running(both, atts, ["_time", "_late"], "_v", "_v", how="last", descending=falls).where("_row is not null")
+        known = F.lit(True) if self.null_safe else reduce(Column.__and__, [F.col(m).isNotNull() for m in atts])
+        met = met.select("_row.*", F.when(known, F.col("_v")).alias("_v"))
         if by_to and self.fromatt:  # the version is picked by its end and then must have begun
             begun = F.col("_v")[self.fromatt]
             ok = begun.isNull() | ((begun <= own("_when")) if from_in else (begun < own("_when")))
             met = met.withColumn("_v", F.when(ok, F.col("_v")))
-        return met.drop("_versions", "_when")
+        return met.drop("_when")
 
     def lookupasof(self, df: DataFrame, when: str | Column, inclusive: bool | tuple[bool, bool] = True, namemapping: Mapped = None, into: str | None = None) -> DataFrame:
         """The rows with the key of the version valid at `when` (a column), null where there is none."""

@@ -1,10 +1,12 @@
 """The ordered operators with rows spread over many ranges, hot keys among them."""
 
+import datetime
 import random
 
 import pytest
 from loomhouse.operators import ordered
 from loomhouse.operators.keys import numbered
+from loomhouse.operators.scd import SlowlyChangingDimension
 from pyspark.sql import functions as F
 
 from .test_dimensions import batch, customers, fold, table
@@ -50,3 +52,51 @@ def test_versions_of_a_hot_member_against_the_fold(spark, many_ranges, everywher
     led = [x["id"] for x in c.scdensure(batch(spark, *some)).orderBy("n").collect()]
     want, want_led = fold(start, some, everywhere)
     assert sorted(table(c), key=repr) == sorted(want, key=repr) and led == want_led
+
+
+@pytest.mark.parametrize(("how", "fall"), [("sum", []), ("max", []), ("max", ["n"]), ("min", []), ("last", []), ("last", ["n"])])
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_running_kinds(spark, many_ranges, how, fall, keys):
+    r = random.Random(3)
+    rows = [(r.choice(["hot"] * 6 + ["a", "b", None]), n, r.choice([None, None, r.randint(0, 99)])) for n in range(300)]
+    frame = ordered.ranged(spark.createDataFrame(rows, "k string, n int, v int"), [*keys, "n"], fall)
+    out = ordered.running(frame, keys, ["n"], "v", "s", how, fall)
+    step = {"sum": lambda a, b: a + b, "max": max, "min": min, "last": lambda a, b: b}[how]
+    want, held = {}, {}
+    for k, n, v in sorted(rows, key=lambda x: x[1], reverse=bool(fall)):
+        own = k if keys else 0
+        if v is not None:
+            held[own] = v if held.get(own) is None else step(held[own], v)
+        want[n] = held.get(own)
+    got = {x["n"]: x["s"] for x in out.collect()}
+    assert {n: v or 0 for n, v in got.items()} == {n: v or 0 for n, v in want.items()}
+
+
+@pytest.mark.parametrize("ends", ["both", "from", "to"])
+@pytest.mark.parametrize("inclusive", [(True, False), (False, True), (True, True), False, True])
+def test_as_of_a_hot_member_against_a_loop(spark, many_ranges, ends, inclusive):
+    """Versions in no sensible order of time, open ends, equal times, null members and moments; one member has most rows."""
+    if ends == "both" and inclusive is False:
+        pytest.skip("one end must be inclusive")
+    r = random.Random(repr((ends, inclusive)))
+    day = lambda: r.choice([None, *(datetime.date(2020, 1, 1) + datetime.timedelta(days=r.randint(0, 25)) for _ in range(9))])
+    versions, count = [], {}
+    for i in range(160):
+        who = r.choice(["hot"] * 6 + ["a", "b", None])
+        count[who] = count.get(who, 0) + 1
+        versions.append((i, who, count[who], day(), day()))
+    rows = [(n, r.choice(["hot"] * 6 + ["a", "b", "unknown", None]), day()) for n in range(200)]
+    table = spark.createDataFrame(versions, "id bigint, who string, version int, f date, t date")
+    history = SlowlyChangingDimension("h", "id", ["who", "version", "f", "t"], ["who"], versionatt="version", fromatt="f" if ends != "to" else None, toatt="t" if ends != "from" else None, table=table)
+    got = {x["n"]: x["id"] for x in history.lookupasof(spark.createDataFrame(rows, "n int, who string, at date"), "at", inclusive).collect()}
+    from_in, to_in = inclusive if isinstance(inclusive, tuple) else (True, False) if ends == "both" else (inclusive, inclusive)
+    after = lambda a, b, same: a is None or (b is not None and (a >= b if same else a > b))
+    until = lambda a, b, same: a is None or (b is not None and (a <= b if same else a < b))
+    for n, who, at in rows:
+        own = sorted((v for v in versions if v[1] == who), key=lambda v: v[2])
+        if ends == "from":
+            want = next((v[0] for v in reversed(own) if until(v[3], at, from_in)), None)
+        else:
+            found = next((v for v in own if after(v[4], at, to_in)), None)
+            want = None if found is None or ends == "both" and not until(found[3], at, from_in) else found[0]
+        assert got[n] == want, (n, who, at)
