@@ -6,6 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
+from loomhouse.plans.store import staged
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,9 @@ class BasePartitioner:
         return df.withColumn(into, self.part(df, namemapping))
 
     def _each(self, df: DataFrame, namemapping: Mapped, do: Callable[[Any, DataFrame], DataFrame | None]) -> list[DataFrame]:
-        dealt = self.getpart(df, namemapping, "_part")
+        if len(self.parts) == 1:
+            return [out] if (out := do(self.parts[0], df)) is not None else []
+        dealt = staged(self.getpart(df, namemapping, "_part"), "parts", by="_part")  # the rows are made once, and each part reads its own
         return [out for k, p in enumerate(self.parts) if (out := do(p, dealt.where(own("_part") == k).drop("_part"))) is not None]
 
     def endload(self) -> None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -106,13 +105,19 @@ def sqltransformingsource(source: DataFrame, temptablename: str, query: str, bat
     return out
 
 
+#: Columns that a table may be given by the values of an attribute.
+COLUMNS = 10_000
+
+
 def crosstab(source: DataFrame, rowvaluesatt: str, colvaluesatt: str, values: str, aggregator: Aggregator | None = None, nonevalue: Any = 0, sortrows: bool = False, columns: Sequence[Any] | None = None) -> DataFrame:
     """Rows by columns with an aggregate in each cell, `nonevalue` where there is none; columns in sorted order.
 
-    Give `columns` where they are known: one pass over the source less.
+    Give `columns` where they are known: one pass over the source less.  More than COLUMNS of them raise.
     """
     if columns is None:
-        columns = sorted(r[0] for r in source.select(colvaluesatt).where(F.col(colvaluesatt).isNotNull()).distinct().collect())
+        columns = sorted(r[0] for r in source.select(colvaluesatt).where(F.col(colvaluesatt).isNotNull()).distinct().limit(COLUMNS + 1).collect())
+        if len(columns) > COLUMNS:
+            raise ValueError(f"{colvaluesatt} has more than {COLUMNS} values")
     cell = (aggregator or Sum()).column(F.col(f"`{values}`"))
     out = source.groupBy(rowvaluesatt).pivot(colvaluesatt, list(columns)).agg(cell)
     if nonevalue is not None:
