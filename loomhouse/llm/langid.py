@@ -7,9 +7,9 @@ order: a sorted array of 64-bit hashes, and beside it one row of log probabiliti
 column for each language, already interpolated down to the uniform distribution) and one of log
 back-off weights.  Texts get the language of lowest cross-entropy per character.
 
-A part of the sample is kept out of the counts to calibrate: the spread of each language's
-cross-entropy sets the limit beyond which a text is rejected, and a temperature turns the
-differences into the probability that `score` is.
+A part of the sample is kept out of the counts to calibrate: the mean and spread of each language's
+cross-entropy set the limit beyond which a text is rejected, which is stretched until at most
+FALSE_REJECTS of the texts kept out lie beyond it, and a temperature turns the differences into the probability that `score` is.
 
 Defined results: null texts and texts without a letter are UNKNOWN with score 0, and
 rejected; without any labelled text all texts are.  Ties go to the language that sorts first.
@@ -35,8 +35,10 @@ ORDER = 4
 SAMPLE = 1500
 #: One in so many of them calibrates and is not counted.
 KEPT_OUT = 8
-#: Nats per character, and standard errors, above a language's mean from which texts are rejected.
+#: Nats per character, and standard errors, above a language's mean from which texts are rejected; both are
+#: stretched alike until no larger share than FALSE_REJECTS of the texts kept out is.
 MARGIN, ERRORS = 1.25, 8.0
+FALSE_REJECTS = 0.001
 _PAD = 1
 RESULT = "struct<lang:string,score:double,rejected:boolean,cross_entropy:double,n_letters:bigint>"
 
@@ -218,7 +220,13 @@ class Judge:
     def __init__(self, model: Model | None):
         self.model = model
         self.mean = self.spread = np.zeros(0)
-        self.heat = 1.0
+        self.heat = self.stretch = 1.0
+
+    def _excess(self, entropy: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """How far the lowest cross-entropy lies above its language's mean, in limits."""
+        best = entropy.argmin(axis=1)
+        limit = np.maximum(MARGIN, ERRORS * self.spread[best] / np.sqrt(np.maximum(many, 1)))
+        return (entropy[np.arange(len(best)), best] - self.mean[best]) / limit
 
     def calibrate(self, langs: list[str], texts: list[str]) -> None:
         model = self.model
@@ -234,6 +242,8 @@ class Judge:
                 self.spread[k] = np.sqrt(np.mean((entropy[own, k] - self.mean[k]) ** 2 * many[own]))
         ok = (known >= 0) & (many > 0)
         if ok.any():
+            excess = np.sort(self._excess(entropy[ok], many[ok]))[::-1]
+            self.stretch = max(1.0, float(excess[int(FALSE_REJECTS * len(excess))]))
             best = -np.inf
             for heat in 2.0 ** np.arange(0, 7, 0.5):  # of least log loss on the texts kept out
                 logs = -entropy[ok] * heat
@@ -251,12 +261,11 @@ class Judge:
         least = entropy[np.arange(n), best]
         score = 1 / np.exp((least[:, None] - entropy) * self.heat).sum(axis=1)
         none = letters == 0
-        limit = self.mean[best] + np.maximum(MARGIN, ERRORS * self.spread[best] / np.sqrt(np.maximum(many, 1)))
         names = np.array([*self.model.languages, UNKNOWN], object)[np.where(none, len(self.model.languages), best)]
         return struct(
             lang=pa.array(names, pa.string()),
             score=pa.array(np.where(none, 0.0, np.clip(score, 0, 1))),
-            rejected=pa.array(none | (least > limit)),
+            rejected=pa.array(none | (self._excess(entropy, many) > self.stretch)),
             cross_entropy=pa.array(least, mask=none),
             n_letters=pa.array(letters, pa.int64()),
         )

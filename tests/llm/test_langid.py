@@ -129,3 +129,48 @@ def test_held_out_accuracy(spark):
     out = langid.identify(docs.where(kept), judge)
     n, right, gone = out.agg(F.count(F.lit(1)), F.sum((F.col("langid.lang") == F.col("lang")).cast("int")), F.sum(F.col("langid.rejected").cast("int"))).first()
     assert right / n > 0.98 and gone / n < 0.02
+
+
+def test_label_score_and_rejection_against_the_textbook(spark):
+    """From plain entropies: means and spreads by language, heat, stretch, then label, score and rejection; a tie goes to the first."""
+    rows = [(k, t, "en") for k, t in enumerate(EN)] + [(10 + k, t, "de") for k, t in enumerate(DE)]
+    counted = langid._count(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").select("lang", "text"))
+    judge = langid.Judge(langid.Model(list(counted), list(counted.values())))
+    alphabet = len({g & 0xFFFF for gs, _ in counted.values() for g in gs.tolist()})
+    plain = {"de": Plain(DE, alphabet), "en": Plain(EN, alphabet)}
+    known = [("en", t) for t in ("the dog", "a house", "they thought", "that mat here", "something", "zzzzz qqqqq xxxxx")] + [("de", t) for t in ("der hund", "ein haus", "keine zeit", "im garten", "straße")]
+    judge.calibrate([x for x, _ in known], [t for _, t in known])
+    many = [len(collapsed(t)) for _, t in known]
+    entropy = [[plain[x].entropy(t) for x in ("de", "en")] for _, t in known]
+    mean, spread = [], []
+    for k, lang in enumerate(("de", "en")):
+        own = [(e[k], n) for e, n, (x, _) in zip(entropy, many, known) if x == lang]
+        mean.append(sum(e * n for e, n in own) / sum(n for _, n in own))
+        spread.append(math.sqrt(sum((e - mean[k]) ** 2 * n for e, n in own) / len(own)))
+
+    def excess(e, n):
+        k = min(range(2), key=lambda i: e[i])
+        return (e[k] - mean[k]) / max(langid.MARGIN, langid.ERRORS * spread[k] / math.sqrt(n))
+
+    stretch = max(1.0, max(excess(e, n) for e, n in zip(entropy, many)))  # of eleven texts none may be rejected
+    loss = lambda heat: sum(math.log(sum(math.exp(-heat * (b - e[("de", "en").index(x)])) for b in e)) for e, (x, _) in zip(entropy, known))
+    heat = min((2.0 ** (k / 2) for k in range(14)), key=lambda h: round(loss(h), 6))
+    assert abs(judge.stretch - stretch) < 1e-4 and judge.heat == heat
+    texts = ["the house", "die straße", "ααα βββ γγγ δδδ " * 9, "zz", "x y"]
+    got = judge.judge(*strings(pa.array(texts))).to_pylist()
+    for t, told in zip(texts, got):
+        e = [plain[x].entropy(t) for x in ("de", "en")]
+        best = min(range(2), key=lambda i: e[i])
+        assert told["lang"] == ("de", "en")[best] and abs(told["cross_entropy"] - e[best]) < 1e-4
+        assert abs(told["score"] - 1 / sum(math.exp(-heat * (b - e[best])) for b in e)) < 1e-3
+        assert told["rejected"] == (excess(e, len(collapsed(t))) > stretch)
+    assert got[2]["rejected"] and not got[0]["rejected"]
+
+
+def test_no_more_than_the_stated_share_is_rejected_wrongly(spark):
+    """Measured on documents that the model has neither learnt from nor been calibrated on."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    kept = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    out = langid.identify(docs.where(kept), langid.train(docs.where(~kept), sample=300))
+    n, gone = out.where("langid.n_letters > 0").agg(F.count(F.lit(1)), F.sum(F.col("langid.rejected").cast("int"))).first()
+    assert n > 2000 and gone / n <= 5 * langid.FALSE_REJECTS
