@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -118,3 +119,40 @@ def test_better_than_the_base_on_held_out_documents(spark):
     out = lm.score(docs, r != 0, r == 1)
     base, score = out.where(F.crc32(F.col("id").cast("string").cast("binary")) % 10 == 0).agg(F.sum("base_score"), F.sum("score")).first()
     assert score > 0.85 * base
+
+
+def test_weights_against_plain_expectation_maximisation():
+    """Token by token, with no arrays: the weights that each bucket ends with."""
+    rng = random.Random(8)
+    cells = sorted({(rng.choice([0, 1, 2, 7, 23]), rng.choice([-1000, -8, 0, 12, 40]), rng.choice([-1000, 0, 20, 44])): rng.randint(1, 400) for _ in range(60)}.items())
+    histogram = [(*k, n) for k, n in cells]
+    value = lambda s: 0.0 if s <= -1000 else 2.0 ** (s / lm.FINE)
+    tokens_ = [(b, (value(two), value(one), 1.0), n) for b, one, two, n in histogram]
+
+    def em(start, some, pull):
+        w = list(start)
+        for _ in range(60):
+            share = [pull * s + 1e-9 for s in start]
+            for _, p, n in some:
+                total = sum(a * b for a, b in zip(p, w))
+                for k in range(3):
+                    share[k] += n * p[k] * w[k] / total
+            w = [s / sum(share) for s in share]
+        return w
+
+    every = em(lm.PRIOR, tokens_, 1.0)
+    got = lm.learn(histogram)
+    for b in range(lm.BUCKETS):
+        own = [t for t in tokens_ if t[0] == b]
+        want = em(every, own, 20.0) if own else every
+        if b == 0:  # an unseen context says nothing
+            want = [0.0, *(x / sum(want[1:]) for x in want[1:])]
+        assert np.allclose(got[b], want, atol=1e-6)
+
+
+def test_extra_and_clashing_columns(spark):
+    docs = documents(spark, [(i, prose(i, 20)) for i in range(30)])
+    r = F.col("doc_id") % 10
+    plain = sorted(map(tuple, lm.score(docs, r != 0, r == 1).collect()))
+    odd = docs.withColumns({c: F.lit(7) for c in ("id", "cls", "block", "kind", "shard", "total", "score", "h")})
+    assert sorted(map(tuple, lm.score(odd, r != 0, r == 1).collect())) == plain
