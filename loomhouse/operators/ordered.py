@@ -64,7 +64,7 @@ def running(rows: DataFrame, keys: Sequence[str], order: str | Sequence[str], va
         sums = rows.withColumn("_nth", F.row_number().over(nth)).where("_nth = 1").select(*groups, own(value).alias("_s_sum"))
     else:
         sums = rows.groupBy(*groups).agg(over(own(value)).alias("_s_sum"))
-    earlier = Window.partitionBy(*([own(f"_s_{i}") for i in range(len(keys))] or [F.lit(0)])).orderBy("_s_range")
+    earlier = Window.partitionBy(*([own(f"_s_{i}") for i in range(len(keys))] or [F.col("_s_range") * 0])).orderBy("_s_range")
     offsets = sums.withColumn("_s_offset", over(F.col("_s_sum")).over(earlier.rowsBetween(Window.unboundedPreceding, -1))).where("_s_offset is not null").drop("_s_sum")
     met = inside.join(offsets, reduce(Column.__and__, [n.eqNullSafe(own(f"_s_{i}")) for i, n in enumerate(names)], F.col(RANGE) == F.col("_s_range")), "left")
     joined = {"sum": F.coalesce("_own_sum", F.lit(0)) + F.coalesce("_s_offset", F.lit(0)), "max": F.greatest("_own_sum", "_s_offset"), "min": F.least("_own_sum", "_s_offset"), "last": F.coalesce("_own_sum", "_s_offset")}[how]
