@@ -16,6 +16,7 @@ import shlex
 import subprocess
 import sys
 import tempfile
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 from types import ModuleType
@@ -36,14 +37,32 @@ class Condition:
     check: str | None
 
 
-def read_csv(columns: list[str], path: str, delimiter: str = ",") -> list[dict[str, str]]:
-    with open(path, newline="") as rows:
-        return [dict(zip(columns, r)) for r in csv.reader(rows, delimiter=delimiter)]
+@dataclass
+class Source:
+    """What a line such as `csv rows.csv ;` below a drawing's head may draw on."""
+
+    columns: list[str]
+    folder: Path
+    config: ModuleType
+
+    def rows(self, line: str) -> list[dict[str, Any]]:
+        word, *args = shlex.split(line)
+        if word in READERS:
+            return [dict(zip(self.columns, r)) for r in READERS[word](self, *args)]
+        return getattr(self.config, word)(self.columns, *args)  # a function of the configuration
+
+
+def _file(source: Source, path: str, delimiter: str = ",") -> Iterable[Sequence[Any]]:
+    with open(source.folder / path, newline="") as lines:
+        yield from csv.reader(lines, delimiter=delimiter)
+
+
+def _query(source: Source, name: str, *words: str) -> Iterable[Sequence[Any]]:
+    warehouse: Warehouse = getattr(source.config, name)
+    return warehouse.fetchalltuples(warehouse.execute(" ".join(words)))
 
 
-def read_sql(columns: list[str], config: ModuleType, name: str, *query: str) -> list[dict[str, Any]]:
-    warehouse: Warehouse = getattr(config, name)
-    return [dict(zip(columns, r)) for r in warehouse.fetchalltuples(warehouse.execute(" ".join(query)))]
+READERS: dict[str, Callable[..., Iterable[Sequence[Any]]]] = {"csv": _file, "sql": _query}
 
 
 def paragraphs(text: str):
@@ -65,18 +84,13 @@ def read(path: Path, config: ModuleType, nullsubst: str, prefix: str, failed: li
             name, _, where = name.partition("@")
             if check and check.lower() not in ASSERTS:
                 raise ValueError(f"no assert {check}")
-            body, rows = lines[1:], None
-            if not body[-1].startswith("|"):
-                reader, *args = shlex.split(body.pop())
-                columns = [c.split(":")[0].strip() for c in body[0].strip("|").split("|")]
-                if reader == "csv":
-                    args[0] = str(path.parent / args[0])
-                    rows = read_csv(columns, *args)
-                elif reader == "sql":
-                    rows = read_sql(columns, config, *args)
-                else:
-                    rows = getattr(config, reader)(columns, *args)
-            table = Table(name, "\n".join(body), nullsubst, prefix, rows, getattr(config, where or "connection"))
+            drawn = [x for x in lines[1:] if x.startswith("|")]
+            told = [x for x in lines[1:] if not x.startswith("|")]
+            if len(told) > 1 or told and lines[-1] != told[0]:
+                raise ValueError("one line, the last, may name where rows come from")
+            head = [cell.split(":")[0].strip() for cell in drawn[0].strip("|").split("|")]
+            rows = Source(head, path.parent, config).rows(told[0]) if told else None
+            table = Table(name, "\n".join(drawn), nullsubst, prefix, rows, getattr(config, where or "connection"))
             out.append(Condition(path, (first, last), table, check.lower() or None))
         except Exception as e:  # a bad drawing does not stop the others
             failed.append(f"{path}, lines {first}-{last}: {e}")
