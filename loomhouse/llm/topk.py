@@ -120,19 +120,19 @@ def select(scores: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int) -
     ids, scores = ids[order], scores[:, order].astype(np.int64)
     lo, hi = np.searchsorted(ids, query_ids, "left"), np.searchsorted(ids, query_ids, "right")
     least = np.iinfo(np.int64).min
-    valid = np.full(n, m) - (hi - lo)
     for q in np.flatnonzero(hi > lo).tolist():
         scores[q, lo[q] : hi[q]] = least
     kth = np.full(n, least)
     if m > k:
         kth = np.partition(scores, m - k, axis=1)[:, m - k]
     rows, cols = np.nonzero(scores >= kth[:, None])  # cols ascend, so ids do: ties stay in order
+    other = ids[cols] != query_ids[rows]  # where fewer than k others are there, the least score lets own rows in
+    rows, cols = rows[other], cols[other]
     value = scores[rows, cols]
-    best = np.lexsort((cols, -value, rows))
+    best = np.lexsort((cols, ~value, rows))
     rows, cols, value = rows[best], cols[best], value[best]
     first = np.searchsorted(rows, np.arange(n))
-    rank = np.arange(len(rows)) - first[rows]
-    keep = rank < np.minimum(k, valid)[rows]
+    keep = np.arange(len(rows)) - first[rows] < k
     return query_ids[rows[keep]], ids[cols[keep]], value[keep]
 
 

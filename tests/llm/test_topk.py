@@ -43,6 +43,12 @@ def test_fewer_than_k_large_values_and_lengths(spark):
     assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i == 0, 20)
 
 
+def test_fewer_than_k_others_in_the_block_of_a_query(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 1.0]), (2, [-1.0, 0.5]), (20, [2.0, 0.0]), (0, [3.0, 3.0])]
+    got = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").coalesce(1), F.col("vec_id") % 20 == 0, 4)
+    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 20 == 0, 4)
+
+
 def test_extra_and_clashing_columns_and_nulls(spark):
     rows = [(0, [1.0, 2.0], "x", None), (20, [3.0, 1.0], None, 4), (None, None, None, None), (7, [1.0, 1.0], "y", 5)]
     frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, ids string, score int").withColumns({"r": F.lit(1), "c": F.lit(2), "id": F.lit(3), "weights": F.lit(4)})
