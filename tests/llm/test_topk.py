@@ -61,3 +61,27 @@ def test_empty_and_no_query(spark):
     assert topk.search(frame.limit(0), F.col("vec_id") == 1).collect() == []
     assert topk.search(frame, F.col("vec_id") == 5).collect() == []
     assert topk.search(frame, F.col("vec_id") == 1).collect() == []
+
+
+def test_neither_side_is_broadcast(spark):
+    rows = [(i, [i % 7 / 7, i % 5 / 5]) for i in range(100)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 20 == 0, 3)
+    assert len(got.collect()) == 15
+    plan = got._jdf.queryExecution().executedPlan().toString()  # copies are made after Spark estimates sizes, so it would take them for small
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize(("asked", "own", "cores"), [(1, 1, 6), (7, 16, 6), (60, 150, 6), (300, 750, 6), (2000, 250, 6), (3, 5000, 1000)])
+def test_grid_copies_no_more_than_cores_need(asked, own, cores):
+    down, across = topk.grid(asked, own, cores)
+    assert topk.QUERY_BLOCKS * down >= asked >= down and topk.CANDIDATE_BLOCKS * across >= own >= across
+    cells = max(4 * cores, -(-asked // topk.QUERY_BLOCKS) * -(-own // topk.CANDIDATE_BLOCKS))
+    assert min(cells, topk.CELLS, asked * own) <= down * across < cells + down + across
+
+
+def test_running_lists_that_go_out_early(spark, monkeypatch):
+    monkeypatch.setattr(topk, "HELD", 12)
+    r = random.Random(3)
+    rows = [(i, [r.choice([-0.5, 0.0, 0.5]) for _ in range(4)]) for i in range(90)]
+    got = topk.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 3 == 0, 4, candidates_a_block=5, queries_a_block=4)
+    assert sorted(map(tuple, got.collect())) == brute(rows, lambda i: i % 3 == 0, 4)
