@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from loomhouse.plans.store import staged
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import BITS, PLACE, RANGE, placed
+
 
 def _columns(order_by: Sequence[str | Column]) -> list[Column]:
     return [F.col(f"`{c}`") if isinstance(c, str) else c for c in order_by]
@@ -16,19 +18,16 @@ def _columns(order_by: Sequence[str | Column]) -> list[Column]:
 def numbered(df: DataFrame, order_by: Sequence[str | Column], name: str, base: int = 0) -> DataFrame:
     """df with base + 1, base + 2, ... in the given order.
 
-    Rows are dealt to ranges of the order and written with their range, so the ranges stay the
-    same; each range is numbered by itself after the rows of the ranges before it, whose
-    counts (one for each range) are all that the driver gets and joins again.
+    Rows are dealt to ranges of the order and written with their range and their place in it, so
+    both stay the same; a row's number is its place after the rows of the ranges before it, whose
+    counts (one for each range) are all that the driver gets, and all that is sent to the tasks.
     """
-    order = _columns(order_by)
-    part = "_range"
-    rows = staged(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()), "numbered")
-    counts = {r[0]: r[1] for r in rows.groupBy(part).count().collect()}
+    rows = placed(df, _columns(order_by), "numbered")
+    counts = {r[0]: r[1] + 1 for r in rows.groupBy(RANGE).agg(F.max(PLACE)).collect()}
     if not counts:
         return df.withColumn(name, F.lit(0).cast("bigint"))
-    rank = F.row_number().over(Window.partitionBy(part).orderBy(*order))
-    met = rows.withColumn("_rank", rank.cast("bigint")).join(_offsets(df, counts, base), part)
-    return met.withColumn(name, F.col("_before") + F.col("_rank")).drop(part, "_rank", "_before")
+    met = rows.join(F.broadcast(_offsets(df, counts, base)), RANGE)
+    return met.withColumn(name, F.col("_before") + F.col(PLACE) + 1).drop(RANGE, PLACE, "_before")
 
 
 def _offsets(df: DataFrame, counts: dict[int, int], base: int) -> DataFrame:
@@ -60,10 +59,9 @@ class SharedSequence:
         """df with a unique number in each row, the same whenever it is used; the next call goes on with a new interval."""
         rows = staged(df.withColumns({"_range": F.spark_partition_id(), "_id": F.monotonically_increasing_id()}), "sequence")
         counts = {r[0]: r[1] for r in rows.groupBy("_range").count().collect()}
-        # an id is the task's number and, in its lower 33 bits, the row's place in the task
         met = rows.join(_offsets(df, counts, self.next), "_range")
         self.next += -(-sum(counts.values()) // self.intervallen) * self.intervallen
-        return met.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_range", "_id", "_before")
+        return met.withColumn(name, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << BITS) - 1))).drop("_range", "_id", "_before")
 
 
 def getsharedsequencefactory(startvalue: int = 0, intervallen: int = 5000) -> SharedSequence:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .dimension import ARRIVAL, Dimension
 from .keys import highest, numbered
 from .matching import Mapped, differs, mapped, own, prefixed, require, same
-from .ordered import RANGE, ranged, running, with_previous
+from .ordered import BITS, PLACE, RANGE, carried, follows, last_rows, ranged, running, within
 
 
 class SlowlyChangingDimension(Dimension):
@@ -133,10 +133,7 @@ class SlowlyChangingDimension(Dimension):
         # in order of member and arrival, dealt to ranges: a member of very many rows spreads over several tasks
         order = [*self.lookupatts, "_seq"]
         both = ranged(before.unionByName(batch), order)
-        numbers = sorted(r[0] for r in both.select(RANGE).distinct().collect())
-        mine = lambda p: same([(own(a), F.col(p)[a]) for a in self.lookupatts])
-        both = with_previous(both, order, self.lookupatts, "_p", numbers)
-        first = F.col("_p").isNull() | ~mine("_p")
+        members = [own(a) for a in self.lookupatts]
         absent = lambda a: a not in here
         if self.minfrom is not None:
             start = F.lit(self.minfrom[0] if isinstance(self.minfrom, tuple) else self.minfrom).cast(kind)
@@ -146,12 +143,29 @@ class SlowlyChangingDimension(Dimension):
         given_to = own(self.toatt) if self.toatt and self.toatt in here else None
         new_from = F.coalesce(given_from, start) if given_from is not None else start
         new_to = F.coalesce(given_to, maxto) if given_to is not None else maxto
-        both = both.withColumns({
+        valid = lambda first: {
             "_eff": F.when(own("_key").isNotNull(), own(self.fromatt) if self.fromatt else F.lit(None)).when(first, new_from).otherwise(own("_from")).cast(kind),
             "_own": F.when(own("_key").isNotNull(), own(self.toatt) if self.toatt else F.lit(None)).when(first, new_to).otherwise(maxto).cast(to_kind),
-            "_first": first & own("_key").isNull(),
-        })
-        both = with_previous(both.drop("_p"), order, [*self.lookupatts, *self.type2atts, "_eff", "_own"], "_p", numbers)
+        }
+        told = lambda: F.struct(*members, *[own(a) for a in self.type2atts], own("_eff"), own("_own"))
+        # the last row of each range, with what it says as a version, goes before the first row of the next range
+        lasts = staged(last_rows(both), "lasts")
+        numbers = sorted(r[0] for r in lasts.select(RANGE).collect())
+        if len(numbers) > 1:
+            mine = same([(own(a), own(f"_e_{a}")) for a in self.lookupatts]) & (F.col(RANGE) == F.col("_e_r"))
+            here_of = both.join(F.broadcast(prefixed(lasts.select(*self.lookupatts, F.col(RANGE).alias("r")), "_e_")), mine, "left_semi").groupBy(F.col(RANGE).alias("_e_range")).agg(F.count(F.lit(1)).alias("_rows"))
+            counted = lasts.join(F.broadcast(here_of), F.col(RANGE) == F.col("_e_range")).drop("_e_range")
+            alone = (F.col("_rows") == 1) & (F.row_number().over(Window.partitionBy(*members).orderBy(RANGE)) == 1)
+            ends = follows(numbers, counted.withColumn("_alone", alone), "_this").withColumns(valid(F.col("_alone"))).select("_this", told().alias("_last_row"))
+            both = both.join(F.broadcast(ends), (F.col(RANGE) == F.col("_this")) & (F.col(PLACE) == 0), "left").drop("_this")
+            both = both.withColumn("_last_row", F.when(same([(own(a), F.col("_last_row")[a]) for a in self.lookupatts]), F.col("_last_row")))
+        else:
+            both = both.withColumn("_last_row", F.lit(None).cast(both.withColumns(valid(F.lit(True))).select(told().alias("r")).schema["r"].dataType))
+        # within a range and member: all windows share one exchange and one sort
+        window = Window.partitionBy(RANGE, *members).orderBy(PLACE)
+        first = F.lag(F.lit(True)).over(window).isNull() & F.col("_last_row").isNull()
+        both = both.withColumn("_first", first).withColumns(valid(own("_first")))
+        both = both.withColumn("_p", F.coalesce(F.lag(told()).over(window), F.col("_last_row")))
         lag = lambda c: F.col("_p")[c]
         changed = F.lit(False)
         for a in self.type2atts:
@@ -161,23 +175,25 @@ class SlowlyChangingDimension(Dimension):
             changed = changed | differs(own("_src"), lag("_eff"))
         if self.toatt and self.toatt != self.orderingatt:
             changed = changed | differs(lag("_own"), maxto)
-        both = both.withColumn("_step", F.when(own("_key").isNotNull(), 0).when(own("_first"), 1).when(changed, 1).otherwise(0)).drop("_p")
-        both = staged(running(both, self.lookupatts, "_seq", "_step", "_grp"), "versions")
-        # one row for each version that the batch made or met
-        lowest = lambda c: F.min_by(own(c), own("_seq"))
-        highest_ = lambda c: F.max_by(own(c), own("_seq"))
+        # a row that begins a version is one step; the newest known version says where numbers go on
+        both = both.withColumn("_new", own("_key").isNull() & (own("_first") | changed))
+        both = both.withColumn("_step", F.when(own("_key").isNotNull(), F.coalesce(own("_version"), F.lit(0))).otherwise(own("_new").cast("bigint"))).drop("_p", "_last_row", "_first", "_src", "_version")
+        inside = staged(within(both, self.lookupatts, "_step", "_part"), "versions")
+        both = carried(inside, inside, self.lookupatts, "_step", "_part", "_grp")
+        # one row for each version that the batch made or met: the row that begins it
         keep = [a for a in self.attributes if a not in self.lookupatts]
-        versions = both.groupBy(*[own(a) for a in self.lookupatts], own("_grp")).agg(
-            F.min("_seq").alias("_seq"),
-            *[(highest_(a) if a in self.type1newest and not absent(a) else lowest(a)).alias(a) for a in keep],
-            *[lowest(c).alias(c) for c in ("_key", "_eff", "_own")],
-        )
-        # the row that begins a version closes the one before it; the newest known version says where numbers go on
-        starts = both.where("_step = 1").select(*[own(a).alias(f"_n_{a}") for a in self.lookupatts], (own("_grp") - 1).alias("_n_grp"), own("_to").alias("_next"), F.lit(True).alias("_n_is"))
-        known_versions = before.select(*[own(a).alias(f"_o_{a}") for a in self.lookupatts], own("_version").alias("_base"))
+        last = [a for a in self.type1newest if not absent(a)]
+        if last:
+            where = F.shiftleft(F.col(RANGE).cast("bigint"), BITS) + F.col(PLACE)
+            one = F.min_by(F.struct(*[own(a) for a in keep if a not in last], *[own(c) for c in ("_seq", "_key", "_eff", "_own")]), where)
+            versions = both.groupBy(*members, own("_grp")).agg(one.alias("_one"), F.max_by(F.struct(*[own(a) for a in last]), where).alias("_newest"))
+            versions = versions.select(*members, own("_grp"), "_one.*", "_newest.*")
+        else:
+            versions = both.where(own("_new") | own("_key").isNotNull()).select(*members, own("_grp"), *[own(a) for a in keep], *[own(c) for c in ("_seq", "_key", "_eff", "_own")])
+        # and it closes the one before it
+        starts = both.where("_new").select(*[own(a).alias(f"_n_{a}") for a in self.lookupatts], (own("_grp") - 1).alias("_n_grp"), own("_to").alias("_next"), F.lit(True).alias("_n_is"))
         versions = versions.join(starts, same([(own(a), own(f"_n_{a}")) for a in self.lookupatts]) & (own("_grp") == own("_n_grp")), "left")
-        versions = versions.join(known_versions, same([(own(a), own(f"_o_{a}")) for a in self.lookupatts]), "left")
-        versions = versions.withColumns({"_isnext": F.coalesce(own("_n_is"), F.lit(False)), "_base": F.coalesce(own("_base"), F.lit(0).cast("bigint"))})
+        versions = versions.withColumn("_isnext", F.coalesce(own("_n_is"), F.lit(False)))
         end = F.when(differs(own("_own"), maxto), own("_own")).when(own("_isnext"), own("_next")).otherwise(maxto)
         out = {}
         for a in keep:
@@ -189,7 +205,7 @@ class SlowlyChangingDimension(Dimension):
             out[a] = value
         made = versions.withColumns(out)
         made = made.withColumns({c: v for c, v in (
-            (self.versionatt, typed(self.versionatt, own("_base") + own("_grp")) if self.versionatt else None),
+            (self.versionatt, typed(self.versionatt, own("_grp")) if self.versionatt else None),
             (self.fromatt, own("_eff") if self.fromatt else None),
             (self.toatt, end if self.toatt else None),
         ) if c})
@@ -239,8 +255,8 @@ class SlowlyChangingDimension(Dimension):
         self.table = met.select(*[(F.when(close, stop).otherwise(own(c)).alias(c) if c == self.toatt else own(c)) for c in self.table.columns])
         return self.table
 
-    def _asof(self, df: DataFrame, when: str | Column, inclusive: bool | tuple[bool, bool], namemapping: Mapped) -> DataFrame:
-        """df with `_v`, the version valid at `when`, or null.
+    def _asof(self, df: DataFrame, when: str | Column, inclusive: bool | tuple[bool, bool], namemapping: Mapped, wanted: Sequence[str]) -> DataFrame:
+        """df with `_v`, the version valid at `when` (its key as k, and the attributes wanted), or null.
 
         By to-dates, the version is the member's first one, in order, that ends after `when`; the first that does also has
         the first running maximum of to-dates after it, so versions below an earlier maximum never count.  By
@@ -272,12 +288,12 @@ class SlowlyChangingDimension(Dimension):
             *[own(a).alias(m) for a, m in zip(self.lookupatts, atts)],
             newest.alias("_at"),
             time(end, beyond, plain).alias("_time"),
-            F.struct(own(self.key).alias("k"), *[own(c) for c in self.all if c != self.key]).alias("_v"),
+            F.struct(own(self.key).alias("k"), *[own(c) for c in self.attributes if c in wanted or by_to and c == self.fromatt]).alias("_v"),
         )
         steps = ranged(versions, [*atts, "_at"], descending=[] if by_to else ["_at"])
-        steps = running(steps, atts, ["_at"], "_time", "_top", how="max" if by_to else "min", descending=not by_to)
-        # of versions of one running maximum the first counts
-        records = steps.where(F.col("_time").eqNullSafe(F.col("_top"))).groupBy(*atts, "_time").agg(F.min_by("_v", "_at").alias("_v") if by_to else F.max_by("_v", "_at").alias("_v"))
+        steps = running(steps, atts, ["_at"], "_time", "_top", how="max" if by_to else "min", descending=not by_to, before=True)
+        # of versions of one running maximum the first counts: the one that lies beyond all before it
+        records = steps.where(F.col("_top").isNull() | (F.col("_time") > F.col("_top") if by_to else F.col("_time") < F.col("_top"))).select(*atts, "_time", "_v")
         moment = own(when) if isinstance(when, str) else when
         inside = to_in if by_to else from_in
         asked = df.select(
@@ -302,12 +318,12 @@ class SlowlyChangingDimension(Dimension):
     def lookupasof(self, df: DataFrame, when: str | Column, inclusive: bool | tuple[bool, bool] = True, namemapping: Mapped = None, into: str | None = None) -> DataFrame:
         """The rows with the key of the version valid at `when` (a column), null where there is none."""
         into = into or mapped(self.key, namemapping)
-        out = self._asof(df.drop(into), when, inclusive, namemapping)
+        out = self._asof(df.drop(into), when, inclusive, namemapping, ())
         return out.withColumn(into, F.col("_v")["k"]).drop("_v")
 
     def lookuprowasof(self, df: DataFrame, when: str | Column, inclusive: bool | tuple[bool, bool] = True, namemapping: Mapped = None) -> DataFrame:
         """The whole version valid at `when` for each row, all nulls where there is none."""
-        out = self._asof(df, when, inclusive, namemapping)
+        out = self._asof(df, when, inclusive, namemapping, self.attributes)
         return out.select(F.col("_v")["k"].alias(self.key), *[F.col("_v")[c].alias(c) for c in self.attributes])
 
     def getversions(self, values: DataFrame, namemapping: Mapped = None) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from typing import Any
 
 from loomhouse.functions.rows import renamefromto, renametofrom
-from loomhouse.operators.ordered import RANGE, ranged, running
+from loomhouse.operators.ordered import PLACE, RANGE, ranged, running
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,7 +207,7 @@ class AggregatingStep(Step):
         order = [*self.by, *self.order_by]
         marked = ranged(df.withColumn("_end", F.coalesce(self.punctuation, F.lit(False)).cast("bigint")), order)
         counted = running(marked, self.by, self.order_by, "_end", "_group")
-        group = counted.withColumns({"_group": F.col("_group") - F.col("_end"), "_end": F.col("_end") == 1}).drop(RANGE)
+        group = counted.withColumns({"_group": F.col("_group") - F.col("_end"), "_end": F.col("_end") == 1}).drop(RANGE, PLACE)
         keys = [_c(b) for b in self.by]
         rows = group.where(~F.col("_end")).groupBy(*keys, "_group").agg(*[v.alias(n) for n, v in self.aggregates.items()])
         ends = group.where(F.col("_end")).drop(*self.aggregates, "_end")

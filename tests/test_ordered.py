@@ -100,3 +100,16 @@ def test_as_of_a_hot_member_against_a_loop(spark, many_ranges, ends, inclusive):
             found = next((v for v in own if after(v[4], at, to_in)), None)
             want = None if found is None or ends == "both" and not until(found[3], at, from_in) else found[0]
         assert got[n] == want, (n, who, at)
+
+
+def test_ranges_tell_each_other_one_row_each(spark, many_ranges):
+    """Rows never travel to meet what the range before carries: a join on a key that most rows lack put them all in one task."""
+    frame = ordered.ranged(spark.range(300).selectExpr("id % 3 as k", "id as n", "id as v"), ["k", "n"])
+    numbers = sorted(x[0] for x in frame.select("_range").distinct().collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (ordered.with_previous(frame, ["k", "n"], ["k"], "p", numbers), ordered.running(frame, ["k"], "n", "v", "s"), numbered(frame.select("v"), ["v"], "m")):
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(numbers) > 3 and [x["s"] for x in ordered.running(frame, ["k"], "n", "v", "s", before=True).where("k = 1").orderBy("n").take(3)] == [0, 1, 5]
