@@ -112,8 +112,7 @@ class AccumulatingSnapshotFactTable(FactTable):
         self.ignores = {a: (ignorenonerefs if a in self.otherrefs else ignorenonemeasures) for a in self.measures}
         self.factexpander = dict(factexpander or {})
 
-    def _fold(self, df: DataFrame, namemapping: Mapped, only_known: bool) -> DataFrame:
-        rows = self._rows(df, namemapping)
+    def _fold(self, rows: DataFrame, only_known: bool) -> DataFrame:
         here = [a for a in self.measures if a in rows.columns]
         old = self.table.select(*self.all)
         keys = [own(k) for k in self.keyrefs]
@@ -141,21 +140,23 @@ class AccumulatingSnapshotFactTable(FactTable):
         return state.groupBy(*keys).agg(*[F.max_by(own(a), rank).alias(a) for a in self.measures])
 
     def _merge(self, folded: DataFrame) -> DataFrame:
-        rest = self.table.join(prefixed(folded.select(*self.keyrefs), "_f_"), self._on("_f_"), "left_anti")
-        self.table = rest.unionByName(self._shaped(folded))
+        """The table with folded facts, written: the next load's plan begins there, however many loads went before."""
+        new = staged(self._shaped(folded), "folded")
+        rest = self.table.join(prefixed(new.select(*self.keyrefs), "_f_"), self._on("_f_"), "left_anti")
+        self.table = staged(rest.unionByName(new), "snapshot")
         return self.table
 
     def ensure(self, df: DataFrame, namemapping: Mapped = None) -> DataFrame:  # type: ignore[override]
         """Insert absent facts and fill in known ones, row after row in arrival order.  Returns the new table."""
-        return self._merge(self._fold(df, namemapping, only_known=False))
+        return self._merge(self._fold(staged(self._rows(df, namemapping), "rows"), only_known=False))
 
     def update(self, df: DataFrame, namemapping: Mapped = None) -> DataFrame:
         """Fill in known facts; rows of absent ones raise."""
-        rows = self._rows(df, namemapping, arrival=False)
+        rows = staged(self._rows(df, namemapping), "rows")
         known = prefixed(self.table.select(*self.keyrefs).distinct(), "_t_")
         if not rows.join(known, self._on("_t_"), "left_anti").isEmpty():
             raise KeyError("an absent fact cannot be updated")
-        return self._merge(self._fold(df, namemapping, only_known=True))
+        return self._merge(self._fold(rows, only_known=True))
 
 
 class BulkFile:

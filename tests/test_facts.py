@@ -134,3 +134,12 @@ def test_partitions(spark):
     turn.droppart()
     assert turn.parts == [2, 3]
     assert DecoupledFactTable(sales(spark)).table.count() == 5
+
+
+def test_loads_of_a_snapshot_do_not_pile_up(spark):
+    """A load reads the table that the load before wrote: its plan, and a task's memory with it, does not grow with the loads."""
+    facts = AccumulatingSnapshotFactTable("span", ["k"], ["a"], table=spark.createDataFrame([], "k bigint, a bigint"), order_by=["n"])
+    for n in range(3):
+        facts.ensure(spark.createDataFrame([(10, n, n), (n, n, 5)], "k bigint, n bigint, a bigint"))
+    assert "Join" not in facts.table._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(facts.table) == [(0, 5), (1, 5), (10, 2), (2, 5)]
