@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from typing import Any
 
 from loomhouse.functions.aggregators import Aggregator, Sum
 from loomhouse.operators.keys import numbered
-from loomhouse.plans.store import staged
+from loomhouse.plans.store import made, shared_dir, staged
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,11 +67,52 @@ def filteringsource(source: DataFrame, filter: Column | Callable[[DataFrame], Co
 PLANS = 64
 
 
+def _lateral(view: DataFrame, name: str, query: str, batches: int) -> DataFrame | None:
+    """The rows of the query over each batch in one plan, or None if Spark cannot plan it so."""
+    spark, tag = view.sparkSession, uuid.uuid4().hex
+    rows, numbers = f"_rows_{tag}", f"_numbers_{tag}"
+    view.createOrReplaceTempView(rows)
+    spark.range(batches).toDF("_number").createOrReplaceTempView(numbers)
+    columns = ", ".join(f"`{c.replace('`', '``')}`" for c in view.columns if c != "_batch")
+    one = f"with `{name}` as (select {columns} from {rows} where _batch = {numbers}._number) select * from (\n{query}\n)"
+    try:
+        view.drop("_batch").createOrReplaceTempView(name)
+        if not spark.sql(query)._jdf.queryExecution().analyzed().subqueriesAll().isEmpty():
+            return None  # a batch's number does not reach subqueries of the query
+        out = spark.sql(f"select _answer.* from {numbers}, lateral ({one}) _answer")
+        out._jdf.queryExecution().executedPlan()
+        return out
+    except (CapturedException, Py4JJavaError):
+        return None
+    finally:
+        for v in (rows, numbers):
+            spark.catalog.dropTempView(v)
+
+
+def _batch_by_batch(view: DataFrame, name: str, query: str, batches: int) -> DataFrame:
+    """The same by a plan for each batch, which reads the folder of that batch alone."""
+    spark = view.sparkSession
+    path = f"{shared_dir(spark)}/apart-{uuid.uuid4().hex}"
+    if batches > 1:
+        apart = view.repartitionByRange("_batch")
+        apart.write.partitionBy("_batch").parquet(path)
+        made.append(path)
+    shape, parts = view.drop("_batch").schema, []
+    for k in range(batches):
+        own = spark.read.schema(shape).parquet(f"{path}/_batch={k}") if batches > 1 else view.drop("_batch")
+        own.createOrReplaceTempView(name)
+        parts.append(spark.sql(query))
+        if len(parts) == PLANS and k + 1 < batches:
+            parts = [staged(reduce(DataFrame.unionAll, parts), "batches")]
+    return reduce(DataFrame.unionAll, parts)
+
+
 def sqltransformingsource(source: DataFrame, temptablename: str, query: str, batchsize: int = 10_000, perbatch: bool = False, columnnames: Sequence[str] | None = None, order_by: Sequence[str] | None = None, batchcolumn: str | None = None) -> DataFrame:
     """The rows of a query over the source as a view.
 
     With `perbatch`, the source is cut into batches of `batchsize` rows in the order given, and
-    the query runs over each by itself: it is planned for each batch, PLANS of them a job.  With
+    the query runs over each by itself: as one lateral join of batches and query, which Spark plans by the
+    batch for any number of them, or, where it cannot, planned for each batch, which alone is read, PLANS of them a job.  With
     `batchcolumn`, the view has the batch's number in a column of that name, and the query runs once over all
     batches: it must group or partition by that column, and is one plan for any number of batches.
     """
@@ -79,23 +123,20 @@ def sqltransformingsource(source: DataFrame, temptablename: str, query: str, bat
     if perbatch:
         if batchsize < 1:
             raise ValueError("batchsize must be positive")
-        rank = staged(numbered(source, order_by or source.columns, "_row"))
+        rank = numbered(source, order_by or source.columns, "_row")
         number = "_batch" if batchcolumn is None else batchcolumn
         view = rank.withColumn(number, F.floor((F.col("_row") - 1) / batchsize).cast("bigint")).drop("_row")
         if batchcolumn is None:
-            batches = max(1, -(-rank.count() // batchsize))
+            view = staged(view, "batches")
+            batches = int(view.agg(F.coalesce(F.max("_batch"), F.lit(0))).first()[0]) + 1
     try:
         if batches is None:
             view.createOrReplaceTempView(temptablename)
             out = spark.sql(query)
         else:
-            parts = []
-            for k in range(batches):
-                view.where(F.col("_batch") == k).drop("_batch").createOrReplaceTempView(temptablename)
-                parts.append(spark.sql(query))
-                if len(parts) == PLANS and k + 1 < batches:
-                    parts = [staged(reduce(DataFrame.unionAll, parts), "batches")]
-            out = reduce(DataFrame.unionAll, parts)
+            out = _lateral(view, temptablename, query, batches) if batches > 1 else None
+            if out is None:
+                out = _batch_by_batch(view, temptablename, query, batches)
     finally:
         spark.catalog.dropTempView(temptablename)
     if columnnames is not None:

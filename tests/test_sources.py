@@ -182,6 +182,34 @@ def test_random_hash_join_against_loops(spark):
     assert rows(got) == sorted([(*p, *q) for p in a for q in b if p[0] == q[0]], key=repr)
 
 
+EACH = [
+    "select 'batch' as label, count(*) as n, min(id) as low from b",
+    "select g, count(*) n, sum(v) s from b group by g",
+    "select count(*) n, coalesce(sum(v), 0) s from b where id > 10",
+    "with x as (select g, count(*) n from b group by g) select max(n) m from x -- the end",
+    "select id, row_number() over (order by id desc) r from b",
+    "select a.id x, c.id y from b a join b c on a.id = c.id + 1",
+    "select id from b where v = (select max(v) from b)",
+]
+
+
+@pytest.mark.parametrize("query", EACH)
+def test_a_query_over_each_batch(spark, monkeypatch, query):
+    """One plan for all batches gives what a plan for each of them does; batches planned by themselves read their own rows only."""
+    frame = spark.range(23).selectExpr("id", "cast(id % 3 as int) g", "if(id = 4, null, id * 1.5D) v")
+    want = []
+    for k in range(0, 23, 5):
+        frame.where(f"id between {k} and {k + 4}").createOrReplaceTempView("b")
+        want += spark.sql(query).collect()
+    each = lambda: X.sqltransformingsource(frame, "b", query, batchsize=5, perbatch=True, order_by=["id"])
+    out = each()
+    assert rows(out) == sorted(map(tuple, want), key=repr)
+    assert ("Union" in out._jdf.queryExecution().analyzed().toString()) == ("(select max" in query)
+    monkeypatch.setattr(X, "_lateral", lambda *a: None)
+    monkeypatch.setattr(X, "PLANS", 2)
+    assert rows(each()) == sorted(map(tuple, want), key=repr)
+
+
 CLUSTER = """
 import sys
 from pyspark.sql import SparkSession
