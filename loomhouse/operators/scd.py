@@ -296,10 +296,14 @@ class SlowlyChangingDimension(Dimension):
         records = steps.where(F.col("_top").isNull() | (F.col("_time") > F.col("_top") if by_to else F.col("_time") < F.col("_top"))).select(*atts, "_time", "_v")
         moment = own(when) if isinstance(when, str) else when
         inside = to_in if by_to else from_in
+        # what a row is placed by is not sent twice
+        kept = {mapped(a, namemapping): m for a, m in zip(self.lookupatts, atts)}
+        if isinstance(when, str) and df.schema[when].dataType == kind:
+            kept.setdefault(when, "_time.t")
         asked = df.select(
             *[own(mapped(a, namemapping)).alias(m) for a, m in zip(self.lookupatts, atts)],
             time(moment.cast(kind), 1, plain).alias("_time"),
-            F.struct(*[own(c) for c in df.columns], moment.cast(kind).alias("_when")).alias("_row"),
+            F.struct(*[own(c) for c in df.columns if c not in kept], F.lit(True).alias("_is")).alias("_row"),
         )
         # by to-dates in falling order of time, else in rising order, the version of a row is the last one before it: at the same time, if that end is inclusive
         both = asked.select(*atts, "_time", F.lit(1 if inside else 0).alias("_late"), "_row", F.lit(None).cast(records.schema["_v"].dataType).alias("_v"))
@@ -308,7 +312,7 @@ class SlowlyChangingDimension(Dimension):
         both = ranged(both, [*atts, "_time", "_late"], descending=falls)
         met = running(both, atts, ["_time", "_late"], "_v", "_v", how="last", descending=falls).where("_row is not null")
         known = F.lit(True) if self.null_safe else reduce(Column.__and__, [F.col(m).isNotNull() for m in atts])
-        met = met.select("_row.*", F.when(known, F.col("_v")).alias("_v"))
+        met = met.select(*[(F.col(kept[c]) if c in kept else F.col("_row")[c]).alias(c) for c in df.columns], F.col("_time.t").alias("_when"), F.when(known, F.col("_v")).alias("_v"))
         if by_to and self.fromatt:  # the version is picked by its end and then must have begun
             begun = F.col("_v")[self.fromatt]
             ok = begun.isNull() | ((begun <= own("_when")) if from_in else (begun < own("_when")))
